@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import decontam, exactdup, mixing
+from meshlark.llm import decontam, exactdup, htmltext, langid, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", F.col(name["size"]).alias("size"), F.col(name["source_size"]).alias("source_size"), F.col(name["target"]).alias("target"), (F.col(name["size"]) * F.col(name["copies"])).alias("taken"))
 
 
+def op2_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, main = htmltext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = F.col(f"{main}.text")
+    return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
+def op3_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.fit(docs.filter(~held))
+    rows, said = langid.predict(docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text")), model)
+    return rows.select("doc_id", held.alias("held_out"), F.coalesce(f"{said}.lang", F.lit("und")).alias("lang_pred"), F.col(f"{said}.score").alias("score"))
+
+
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and whether the document is labelled good and not toxic."""
+    return _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+
+
+def op7_select_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = quality.select(_table(spark, sf_dir, "documents").select("doc_id", "text"), good_labels(spark, sf_dir))
+    return rows.select("doc_id", F.col(names["log_weight"]).alias("log_weight"), F.col(names["kept"]).alias("kept"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, found = decontam.find_benchmark(docs, _table(spark, sf_dir, "benchmark"))
@@ -30,7 +54,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_extract_text": op2_extract_text,
+    "op3_identify_language": op3_identify_language,
     "op5_decontaminate": op5_decontaminate,
+    "op7_select_quality": op7_select_quality,
     "op8_exact_dedup": op8_exact_dedup,
 }
 

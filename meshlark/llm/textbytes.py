@@ -35,6 +35,8 @@ ALNUM_WORDS = byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)
 #: Letters only: A-Z, a-z, all beyond ASCII.
 LETTER_WORDS = byte_class([(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 
+_RUNS = np.where(ALNUM_WORDS, 1, np.where(byte_class([(0x21, 0x7E)]), 2, 0)).astype(np.uint8)
+
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
 
@@ -119,6 +121,22 @@ def words(chunk: Chunk, kind: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, chunk.at))
 
 
+def runs(chunk: Chunk) -> Words:
+    """Maximal runs of letters and digits and, apart from them, of other printing characters; white space and controls lie between."""
+    n = len(chunk.buf)
+    if not n:
+        return words(chunk, SPACED_WORDS)
+    kind = _RUNS[chunk.buf]
+    change = np.empty(n + 1, bool)
+    change[0] = change[-1] = True
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[chunk.at] = True
+    edges = np.flatnonzero(change)
+    solid = kind[edges[:-1]] > 0
+    start = edges[:-1][solid]
+    return Words(start, edges[1:][solid], np.searchsorted(start, chunk.at))
+
+
 def word_hashes(chunk: Chunk, found: Words) -> np.ndarray:
     """64-bit hashes of the words with A-Z lower-cased."""
     if not len(found.start):
