@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import decontam, exactdup, htmltext, langid, mixing, quality
+from meshlark.llm import decontam, exactdup, htmltext, langid, mixing, neardup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_select_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col(names["log_weight"]).alias("log_weight"), F.col(names["kept"]).alias("kept"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, found = decontam.find_benchmark(docs, _table(spark, sf_dir, "benchmark"))
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_extract_text": op2_extract_text,
     "op3_identify_language": op3_identify_language,
+    "op4_near_dedup": op4_near_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_select_quality": op7_select_quality,
     "op8_exact_dedup": op8_exact_dedup,
@@ -88,6 +93,23 @@ rate AS (
          CAST('0x' || substr(md5('mix:' || CAST(s.doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(r) + CASE WHEN u < r - floor(r) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rate
+""",
+    "op4_near_dedup": r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM dw),
+ids AS (SELECT doc_id, len(s) AS n, list_sort(list_transform(s, lambda x: hash(x))) AS hs FROM sets),
+cls AS (SELECT hs, min(doc_id) AS id, any_value(n) AS n FROM ids WHERE n > 0 GROUP BY hs),
+sh AS (SELECT id, n, unnest(hs) AS h FROM cls),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM sh a JOIN sh b ON a.h = b.h AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 75 * (na + nb - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, r) AS (SELECT id, id FROM cls UNION SELECT reach.id, sym.b FROM reach JOIN sym ON reach.r = sym.a),
+comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
+SELECT i.doc_id, CAST(i.n AS BIGINT) AS n_shingles, coalesce(comp.c, i.doc_id) AS component_id, coalesce(comp.c, i.doc_id) = i.doc_id AS kept
+FROM ids i LEFT JOIN cls ON i.n > 0 AND i.hs = cls.hs LEFT JOIN comp ON comp.id = cls.id
 """,
     "op5_decontaminate": r"""
 WITH dw AS (
