@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import decontam, exactdup, htmltext, langid, mixing, neardup, quality
+from meshlark.llm import decontam, exactdup, htmltext, langid, mixing, neardup, pii, quality, shards
+from meshlark.llm.spread import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names, _ = shards.shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.col(names["shard"]).alias("shard"), F.col(names["version"]).alias("version"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, name = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col(name["base"]), F.col(name["spans"])
+    counts = [F.size(F.filter(base, pii.of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_extract_text": op2_extract_text,
@@ -64,6 +77,8 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op7_select_quality": op7_select_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_shard": op9_shard,
+    "op10_personal_data": op10_personal_data,
 }
 
 _SIZED = r"""
