@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import decontam, exactdup, htmltext, langid, mixing, neardup, pii, quality, shards
+from meshlark.llm import decontam, exactdup, hpylm, htmltext, langid, mixing, neardup, pii, quality, shards
 from meshlark.llm.spread import scratch
 
 
@@ -33,6 +33,11 @@ def op3_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), F.coalesce(f"{said}.lang", F.lit("und")).alias("lang_pred"), F.col(f"{said}.score").alias("score"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hpylm.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and whether the document is labelled good and not toxic."""
     return _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_identify_language": op3_identify_language,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language_model": op6_language_model,
     "op7_select_quality": op7_select_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shard": op9_shard,
