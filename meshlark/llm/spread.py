@@ -35,6 +35,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """``name``, with underscores before it until no column of ``taken`` has it (case aside)."""
     low = {c.lower() for c in taken}
