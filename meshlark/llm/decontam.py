@@ -118,9 +118,9 @@ def _count_shingles(index_of) -> object:
     return run
 
 
-#: What is found in a document. spans: word positions [start, end) covered by windows; items: ids, sorted as strings.
-FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
-_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+#: What is found in a document. starts and ends: word positions (end exclusive) of the stretches that windows cover; items: ids, sorted as strings.
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
 def _joined(parts: list[list[int]]) -> list[list[int]]:
@@ -133,7 +133,7 @@ def _joined(parts: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _find(text_at: int, before_at: int | None, index_of) -> object:
+def _find(text_at: int, before_at: int | None, index_of, name: str) -> object:
     """Appends FOUND to each row; ``before_at``: a column of what earlier blocks found, which goes into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +158,16 @@ def _find(text_at: int, before_at: int | None, index_of) -> object:
                     out.append({"n_words": int(found.at[row + 1] - found.at[row]), "spans": spans.get(row, []), "items": items.get(row, set())})
             if before_at is not None:
                 for x, y in zip(out, batch.column(before_at).to_pylist(), strict=True):
-                    x["spans"], x["items"] = x["spans"] + y["spans"], x["items"] | set(y["items"])
+                    x["spans"] = x["spans"] + [[a, b] for a, b in zip(y["starts"], y["ends"], strict=True)]
+                    x["items"] = x["items"] | set(y["items"])
             for x in out:
-                x["spans"] = _joined(x["spans"])
-                x["n_hit"] = sum(b - a for a, b in x["spans"])
+                spans = _joined(x.pop("spans"))
+                x["starts"], x["ends"] = [a for a, _ in spans], [b for _, b in spans]
+                x["n_hit"] = sum(b - a for a, b in spans)
                 x["items"] = sorted(x["items"])
             names = [n for k, n in enumerate(batch.schema.names) if k != before_at]
             columns = [c for k, c in enumerate(batch.columns) if k != before_at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _FOUND)], [*names, "found"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _FOUND)], [*names, name])
 
     return run
 
@@ -196,7 +198,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
         prefixed = sc.broadcast(index.prefixed({s: n for s, n in counts.toLocalIterator()}))
         fields = [f for f in rows.schema.fields if f.name != before]
         at = rows.columns.index(text)
-        rows = rows.mapInArrow(_find(at, None if before is None else rows.columns.index(before), lambda sent=prefixed: sent.value), T.StructType([*fields, T.StructField(name, FOUND)]))
+        rows = rows.mapInArrow(_find(at, None if before is None else rows.columns.index(before), lambda sent=prefixed: sent.value, name), T.StructType([*fields, T.StructField(name, FOUND)]))
         if len(blocks) > 1:
             rows = kept(rows)
         before = name
