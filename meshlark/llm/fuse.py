@@ -21,14 +21,13 @@ def _places(keys: np.ndarray, seed: int, segment: int, starts: int) -> tuple[np.
     """The three slots of each key (columns) and its fingerprint."""
     with np.errstate(over="ignore"):
         h = mix(keys + np.uint64(seed))
-    low = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(starts)) >> np.uint64(32)
-    first = low.astype(np.int64)
+    first = (((h >> np.uint64(32)) * np.uint64(starts)) >> np.uint64(32)).astype(np.int64)
     step = np.int64(segment)
     mask = np.uint64(segment - 1)
     one = first + step
     two = one + step
     one ^= ((h >> np.uint64(18)) & mask).astype(np.int64)
-    two ^= ((h >> np.uint64(36)) & mask).astype(np.int64)
+    two ^= (h & mask).astype(np.int64)
     return np.stack([first, one, two], axis=1), (h ^ (h >> np.uint64(32))).astype(np.uint8)
 
 
