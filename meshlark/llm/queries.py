@@ -156,5 +156,39 @@ FROM dw d LEFT JOIN n_hit h ON d.doc_id = h.doc_id LEFT JOIN its t ON d.doc_id =
     "op8_exact_dedup": r"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op10_personal_data": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT doc_id, 'email' AS kind, 0 AS ord, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS f, regexp_split_to_array(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM t
+  UNION ALL SELECT doc_id, 'ip', 1, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), regexp_split_to_array(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM t
+  UNION ALL SELECT doc_id, 'card', 2, regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), regexp_split_to_array(text, '[0-9]([\x20-]?[0-9])+') FROM t
+  UNION ALL SELECT doc_id, 'phone', 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM t),
+placed AS (
+  SELECT doc_id, kind, ord, f[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, regexp_replace(f[i], '[^0-9]', '', 'g') AS d
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m)),
+base AS (
+  SELECT doc_id, kind, ord, v, s, s + length(v) AS e FROM placed
+  WHERE kind = 'email' OR (kind = 'ip' AND list_max(list_transform(string_split(v, '.'), lambda x: TRY_CAST(x AS DOUBLE))) <= 255) OR (kind = 'phone' AND length(d) BETWEEN 9 AND 15)
+    OR (kind = 'card' AND length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE CAST(d[i] AS INT) * 2 - CASE WHEN CAST(d[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)),
+near AS (
+  SELECT DISTINCT b.doc_id, t.text, lower(b.v) AS entity, unnest(list_distinct(regexp_extract_all(lower(substring(t.text, greatest(b.s - 80, 0) + 1, least(b.s, 80)) || ' ' || substring(t.text, b.e + 1, 80)), '\p{L}+'))) AS term
+  FROM base b JOIN t ON t.doc_id = b.doc_id),
+pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near WHERE length(term) >= 4 GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
+ents AS (SELECT lower(v) AS entity, count(DISTINCT doc_id) AS n_entity FROM base GROUP BY 1),
+terms AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS term FROM t) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+risky AS (
+  SELECT p.entity, p.term FROM pairs p JOIN ents e ON p.entity = e.entity JOIN terms w ON p.term = w.term, (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents)
+  WHERE ln(n / n_entity) > 0 AND ln(n_both * n / (n_entity * greatest(n_term, n_both))) / ln(n / n_entity) >= 0.8),
+held AS (SELECT DISTINCT b.doc_id, r.term FROM base b JOIN risky r ON lower(b.v) = r.entity),
+words AS (
+  SELECT doc_id, f[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT doc_id, f, g, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS f, regexp_split_to_array(text, '\p{L}+') AS g FROM t WHERE doc_id IN (SELECT doc_id FROM held)))),
+found AS (SELECT w.doc_id, 'term' AS kind, 4 AS ord, w.v, w.s, w.s + length(w.v) AS e FROM words w JOIN held h ON w.doc_id = h.doc_id AND lower(w.v) = h.term
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.s + length(w.v) AND w.s < b.e)),
+spans AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord, e) AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM found) GROUP BY doc_id),
+own AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS x, count(*) FILTER (kind = 'email') AS a, count(*) FILTER (kind = 'ip') AS b, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS d FROM base GROUP BY doc_id)
+SELECT t.doc_id, coalesce(o.a, 0) AS n_email, coalesce(o.b, 0) AS n_ip, coalesce(o.c, 0) AS n_card, coalesce(o.d, 0) AS n_phone, sha256(coalesce(o.x, '')) AS base_sha256, coalesce(s.x, '') AS spans
+FROM t LEFT JOIN own o ON t.doc_id = o.doc_id LEFT JOIN spans s ON t.doc_id = s.doc_id
 """,
 }
