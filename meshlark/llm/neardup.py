@@ -3,9 +3,9 @@
 Two small collections of HALVES half-keys of ROWS minhashes each are computed for a document; a table key is
 a pair of one of either, so HALVES ** 2 tables cost 2 * HALVES * ROWS minhashes instead of HALVES ** 2 * 2 * ROWS.
 Only half-keys that some other document shares are paired. Documents with equal sets are one class from the start.
-In a table bucket every class is compared with one leader; what is then not yet connected is compared in
-further rounds with more leaders, until no bucket holds an open pair. Comparisons that set sizes or the
-triangle inequality of the Jaccard distance rule out are skipped: they can't be links.
+Classes are compared with leaders of their buckets; what is then not yet connected is compared in further rounds,
+until no bucket holds two components of which some pair was not compared. Pairs that are in one component already
+need no comparison, and pairs whose set sizes can't link or whose parity sketches differ far too much get none.
 """
 
 from __future__ import annotations
@@ -22,11 +22,17 @@ from meshlark.llm.spread import BROADCAST_ROWS, kept, keyed_join
 
 SHINGLE = 5
 #: Half-keys of each of the two collections, and minhashes of each half-key. At similarity 0.75 a pair is
-#: missed with probability 2 * (1 - 0.75 ** ROWS) ** HALVES, about 2e-4; at 0.8 about 6e-6.
-HALVES, ROWS = 24, 4
+#: missed with probability 2 * (1 - 0.75 ** ROWS) ** HALVES, about 3e-4; at 0.8 about 2e-5.
+HALVES, ROWS = 16, 3
+#: Bits of a set's parity sketch, and standard deviations that a pair may lie beyond what a link's sketches differ by.
+SKETCH_BITS, BEYOND = 512, 5
+#: Leaders that a document is compared with at first.
+LEADERS = 4
 #: A pair is a link if LINK[1] * common >= LINK[0] * union.
 LINK = (75, 100)
 
+BITS = [f"o{k}" for k in range(SKETCH_BITS // 64)]
+
 _rng = np.random.default_rng(20_240_501)
 _A = (_rng.integers(0, 1 << 32, 2 * HALVES * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, 2 * HALVES * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -63,13 +69,20 @@ def half_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.T
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A set's parity sketch (Mitzenmacher, Pagh and Pham, 2014): each element flips a bit, so two sketches differ by their symmetric difference only."""
+    flips = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, digest, u, v) of batches of (text, doc_id)."""
+    """(doc_id, n, digest, u, v and BITS) of batches of (text, doc_id)."""
     for batch in batches:
-        n, first, second, keys = [], [], [], []
+        n, first, second, keys, odd = [], [], [], [], []
         for chunk in tb.chunks(batch.column(0)):
             sets = sets_of(chunk)
             n += [len(s) for s in sets]
+            odd += [parity(s) for s in sets]
             first += [int(np.add.reduce(tb.mix(s), dtype=np.uint64)) for s in sets]
             second += [int(np.bitwise_xor.reduce(tb.mix(s + np.uint64(7)))) if len(s) else 0 for s in sets]
             block = np.zeros((len(sets), 2 * HALVES), np.uint64)
@@ -80,7 +93,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, 2 * HALVES), np.int64)
         digest = [f"{k}-{a:016x}{b:016x}" if k else None for k, a, b in zip(n, first, second, strict=True)]
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), HALVES).cast(pa.list_(pa.int64())) for part in (both[:, :HALVES], both[:, HALVES:])]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.string()), *lists], ["doc_id", "n", "digest", "u", "v"])
+        bits = [pa.array(np.array([x[k] for x in odd], np.int64)) for k in range(len(BITS))]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.string()), *lists, *bits], ["doc_id", "n", "digest", "u", "v", *BITS])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,65 +159,96 @@ def _fits(one: str, two: str):
     return F.least(one, two) * LINK[1] >= F.greatest(one, two) * LINK[0]
 
 
+def _alike():
+    """Whether the sketches of two rows (the other's columns begin with l) differ by no more than those of a link can, but for chance.
+
+    A link's sets differ in at most (1 - t) / (1 + t) of their sizes' sum. The sketches of large sets say nothing and pass.
+    """
+    differ = None
+    for c in BITS:
+        n = F.bit_count(F.col(c).bitwiseXOR(F.col("l" + c)))
+        differ = n if differ is None else differ + n
+    t, size = LINK[0] / LINK[1], float(SKETCH_BITS)
+    x = (F.col("n") + F.col("ln")) * ((1 - t) / (1 + t) / size)
+    mean = (1 - F.exp(-2 * x)) * (size / 2)
+    spread = F.sqrt((1 - F.exp(-4 * x) * (1 + 4 * x)) * (size / 4) + 1e-9)
+    return differ <= mean + BEYOND * spread + 1
+
+
 def link_classes(reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, comp) of the linked among ``reps`` (id, n, u, v), whose texts ``docs`` has."""
-    spark = reps.sparkSession
-    halves = [reps.select("id", F.explode(side).alias("key")) for side in ("u", "v")]
+    """(id, comp) of the linked among ``reps`` (id, n, u, v, BITS), whose texts ``docs`` has.
+
+    Documents first meet the leader of their buckets that meets most others. Of a bucket that then still holds two components, all
+    members outside the largest one meet all members, some at a time: whatever pair could join two components has one of them.
+    """
     shared = []
-    for rows in halves:
+    for side in ("u", "v"):
+        rows = reps.select("id", F.explode(side).alias("key"))
         met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
         shared.append(rows.join(met, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), F.sum("m").alias("m")))
     u, v = shared
-    open_rows = u.join(v.select("id", F.col("keys").alias("others"), F.col("m").alias("m2")), "id").join(reps.select("id", "n"), "id")
-    table = open_rows.select("id", "n", (F.col("m") + F.col("m2")).alias("met"), F.explode("keys").alias("ku"), "others").select("id", "n", "met", "ku", F.explode("others").alias("kv")).select("id", "n", "met", F.xxhash64("ku", "kv").alias("key"))
-    crowded = table.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    table = kept(table.join(crowded, "key").select("key", "id", "n", "met"))
-    ids = table.select("id").distinct()
-    some = kept(ids)
+    halves = u.join(v.select("id", F.col("keys").alias("others"), F.col("m").alias("m2")), "id").join(reps.select("id", "n", *BITS), "id")
+    halves = kept(halves.select("id", "n", *BITS, (F.col("m") + F.col("m2")).alias("met"), "keys", "others"))
+
+    def tables(rows: DataFrame, *columns: str) -> DataFrame:
+        """A row for each table key of a document."""
+        each = rows.select("id", *columns, F.explode("keys").alias("ku"), "others")
+        return each.select("id", *columns, "ku", F.explode("others").alias("kv")).select("id", *columns, F.xxhash64("ku", "kv").alias("key"))
+
+    lead = tables(halves, "n", "met").groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "l.*")
+    lead = lead.select("key", F.col("id").alias("lid"), F.col("met").alias("lmet"), F.col("n").alias("ln"))
+    first = F.collect_set(F.when((F.col("id") != F.col("lid")) & _fits("n", "ln"), F.struct("lmet", "lid")))
+    met = kept(tables(halves, "n").join(lead, "key").groupBy("id").agg(F.slice(F.sort_array(first, asc=False), 1, LEADERS).alias("leaders")))
+    some = met.select("id")
     few = some.count() <= 5 * BROADCAST_ROWS
-    wanted = docs.select(text, F.col(doc_id).alias("id"))
-    wanted = wanted.join(F.broadcast(some) if few else some, "id", "left_semi").select(text, "id")
     kind = reps.schema["id"].dataType.simpleString()
+    wanted = docs.select(text, F.col(doc_id).alias("id")).join(F.broadcast(some) if few else some, "id", "left_semi").select(text, "id")
     sets = kept(wanted.mapInArrow(_set_rows, f"id {kind}, set binary").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs with what they have in common, and those that are links."""
-        met = kept(compared(pairs, sets))
-        return met, met.filter(F.col("common") * LINK[1] >= F.col("union") * LINK[0]).select("a", "b")
-
-    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-        return rows.drop("comp").join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        got = kept(compared(pairs, sets))
+        return got, got.filter(F.col("common") * LINK[1] >= F.col("union") * LINK[0]).select("a", "b")
+
+    sketches = halves.select("id", "n", *BITS)
+    ahead = sketches.toDF(*["l" + c for c in sketches.columns])
+    pairs = met.select("id", F.explode("leaders.lid").alias("lid")).join(sketches, "id").join(ahead, "lid").filter(_alike())
+    known, links = verified(kept(pairs.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()))
+    known = known.select("a", "b")
+    comps = kept(components(links))
+    # from here a bucket is one half-key of the first collection; a table key in common is tested for, and the pair taken where their first common half-key is
+    rows = halves.join(some, "id", "left_semi").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = rows.select("id", "n", "comp", "keys", "others", *BITS, F.explode("keys").alias("key"))
+    two = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    rows = kept(rows.join(two, "key").withColumn("led", F.lit(False)))
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """Rows of buckets that hold two components and a pair of documents of which neither has led."""
-        state = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(~F.col("led")).alias("rest"))
-        state = state.filter("lo != hi and rest > 1").select("key", "rest")
-        return kept(rows.drop("rest").join(state, "key"))
-
-    # first every bucket's most met document leads
-    lead = table.groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("l")).select("key", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"))
-    rows = table.join(lead, "key")
-    pairs = rows.filter((F.col("id") != F.col("lid")) & _fits("n", "ln")).select(F.least("lid", "id").alias("a"), F.greatest("lid", "id").alias("b")).distinct()
-    known, links = verified(kept(pairs))
-    links = kept(links)
-    distance = known.select("a", "b", (1 - F.col("common") / F.col("union")).alias("d"))
-    rows = rows.withColumn("a", F.least("lid", "id")).withColumn("b", F.greatest("lid", "id")).join(distance, ["a", "b"], "left")
-    rows = rows.select("key", "id", "n", (F.col("id") == F.col("lid")).alias("led"), F.when(F.col("id") == F.col("lid"), 0.0).otherwise(F.col("d")).alias("d"))
-    rows = still_open(labelled(rows, links))
-    many, bound = 32, 1 - LINK[0] / LINK[1] + 1e-9
+        """Rows of buckets with two components, with ``outside``: not in the bucket's largest; ``rest``: how many of those have not led, more than none."""
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("led")).alias("r"))
+        state = sizes.groupBy("key").agg(F.max(F.struct("c", "comp", "r")).alias("major"), F.count(F.lit(1)).alias("k"), F.sum("r").alias("r"))
+        state = state.select("key", F.col("major.comp").alias("major"), (F.col("r") - F.col("major.r")).alias("rest"), "k").filter("k > 1 and rest > 0").drop("k")
+        return kept(rows.drop("major", "rest").join(state, "key"))
+
+    rows, many = still_open(rows), 32
     while not rows.isEmpty():
-        # then about `many` of those that have not led, all of them in a bucket with no more
-        chosen = ~F.col("led") & (F.pmod(F.xxhash64("id", "key"), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000 * many) / F.col("rest")))
+        outside = (F.col("comp") != F.col("major")) & ~F.col("led")
+        chosen = outside & (F.pmod(F.xxhash64("id", "key"), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000 * many) / F.col("rest")))
         rows = rows.withColumn("now", chosen)
-        lead = rows.filter("now").select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lc"), F.col("d").alias("ld"))
-        apart = F.col("d").isNull() | F.col("ld").isNull() | (F.abs(F.col("d") - F.col("ld")) <= bound)
-        pairs = rows.join(lead, "key").filter((F.col("comp") != F.col("lc")) & _fits("n", "ln") & apart).select(F.least("lid", "id").alias("a"), F.greatest("lid", "id").alias("b")).distinct()
-        pairs = kept(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        met, more = verified(pairs)
-        known, links = kept(known.unionByName(met)), kept(links.unionByName(more))
-        rows = still_open(labelled(rows.withColumn("led", F.col("led") | F.col("now")).drop("now"), links))
-        many *= 2
-    return components(links)
+        lead = rows.filter("now").select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lc"), F.col("keys").alias("lkeys"), F.col("others").alias("lothers"), *[F.col(c).alias("l" + c) for c in BITS])
+        once = F.arrays_overlap("others", "lothers") & (F.array_min(F.array_intersect("keys", "lkeys")) == F.col("key"))
+        pairs = rows.join(lead, "key").filter((F.col("comp") != F.col("lc")) & _fits("n", "ln") & _alike() & once).select(F.least("lid", "id").alias("a"), F.greatest("lid", "id").alias("b")).distinct()
+        got, more = verified(kept(pairs.join(known, ["a", "b"], "left_anti")))
+        known = known.unionByName(got.select("a", "b"))
+        rows = rows.withColumn("led", F.col("led") | F.col("now")).drop("now")
+        if not more.isEmpty():  # the new links join components, not documents
+            ends = more.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+            joined = kept(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("old", "new"))
+            moved = comps.join(joined, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp"))
+            comps = kept(moved.unionByName(joined.join(comps, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("comp"))))
+            rows = rows.join(joined, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
+        rows = still_open(rows)
+        many *= 4
+    return comps
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,12 +259,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     table gives an empty result.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(text, F.col(doc_id).alias("doc_id")).mapInArrow(_sketch, f"doc_id {kind}, n bigint, digest string, u array<bigint>, v array<bigint>")
+    rows = docs.select(text, F.col(doc_id).alias("doc_id")).mapInArrow(_sketch, f"doc_id {kind}, n bigint, digest string, u array<bigint>, v array<bigint>, " + ", ".join(f"{c} bigint" for c in BITS))
     rows = kept(rows)
     total = rows.count()
     classes = kept(rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m"), F.any_value("n").alias("n")))
     heads = rows.join(classes.select(F.col("digest").alias("d"), F.col("id").alias("i")), (F.col("doc_id") == F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
-    heads = heads.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "u", "v")
+    heads = heads.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "u", "v", *BITS)
     comps = link_classes(heads, docs, doc_id, text)
     table = classes.join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"), "m").filter("m > 1 or component_id is not null")
     out = keyed_join(rows.select("doc_id", F.col("n").alias("n_shingles"), "digest"), table, "digest", "m", total, F.col("doc_id"))
