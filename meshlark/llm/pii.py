@@ -104,22 +104,29 @@ def revealing_terms(found: DataFrame, docs: DataFrame, text: str, near: int = NE
     each = found.select("id", "text", F.xxhash64("text").alias("h"), F.explode("spans").alias("s"))
     around = F.concat(F.substring(F.col("text"), F.greatest(F.col("s.start") - near, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(near))), F.lit(" "), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(near)))
     terms = F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(_WORD), F.lit(0)))
-    pairs = each.select("id", "h", F.lower("s.value").alias("entity"), F.explode(terms).alias("term")).filter(F.length("term") >= LETTERS)
-    pairs = pairs.groupBy("entity", "term", "h").agg(F.count_distinct("id").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_both")).filter(F.col("texts") >= support)
-    pairs = kept(pairs)
+    near_rows = each.select("id", "h", F.lower("s.value").alias("entity"), F.explode(terms).alias("term")).filter(F.length("term") >= LETTERS)
+    pairs = near_rows.groupBy("entity", "term", "h").agg(F.count_distinct("id").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_both")).filter(F.col("texts") >= support)
     entities = each.select("id", F.lower("s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = kept(pairs.select("term").distinct())
-    if wanted.isEmpty():
+    pairs = kept(pairs.join(entities, "entity"))
+    if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("degree"))
+    total = docs.count()
+
+    def disclosing(counts: DataFrame) -> DataFrame:
+        """Pairs whose degree is ``generalise`` or more by counts (term, n_term)."""
+        pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+        ic = F.log(F.lit(float(total)) / F.col("n_entity"))
+        return pairs.join(counts, "term").withColumn("degree", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("degree") >= generalise)
+
+    # a term is in no fewer rows than near entities, so what these counts rule out the corpus rules out too
+    near_counts = near_rows.select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    wanted = kept(disclosing(near_counts).select("term").distinct())
+    if wanted.isEmpty():
+        return pairs.select("entity", "term", F.lit(0.0).alias("degree")).limit(0)
     small = wanted.count() <= BROADCAST_ROWS
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))).alias("term"))
     counts = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
-    scored = pairs.join(counts, "term").join(entities, "entity")
-    log = lambda x: F.log(x)
-    pmi = log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    ic = log(F.lit(float(total)) / F.col("n_entity"))
-    return scored.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("degree")).filter(F.col("degree") >= generalise)
+    return disclosing(counts).select("entity", "term", "degree")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove: float = REMOVE, **options) -> tuple[DataFrame, dict[str, str]]:
@@ -144,7 +151,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove: fl
         own = kept(own.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__terms"))
         own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
         out = with_base.join(own, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
-    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join(F.transform("__terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("__terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
     terms = F.when(F.col("__terms").isNotNull(), F.filter(matches(F.col(text), pattern, "term", len(KINDS)), lambda s: ~F.exists(names["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.expr(_EMPTY))
     out = out.withColumn(names["spans"], F.sort_array(F.concat(names["base"], F.coalesce(terms, F.expr(_EMPTY)))))
 
