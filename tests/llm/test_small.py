@@ -277,6 +277,24 @@ def test_probabilities_sum_to_one(spark):
         assert all(v < 0 for v in s.values())
 
 
+def test_contexts_are_not_mixed(spark):
+    """Words whose hashes agree in the last 16 bits are different contexts; totals of a context are those of all buckets."""
+    names = [f"c{k}" for k in range(2000)]
+    chunk = next(iter(tb.chunks(pa.array([" ".join(names)]))))
+    met = {}
+    for name, h in zip(names, tb.word_hashes(chunk, tb.words(chunk, tb.SPACED_WORDS)), strict=True):
+        met.setdefault(int(h) & 0xFFFF, []).append(name)
+    a, b = next(x for x in met.values() if len(x) > 1)[:2]
+    train = [(k, f"{a} left") for k in range(200)] + [(200 + k, f"{b} right") for k in range(200)]
+    rows = train + [(1000, f"{a} left"), (1001, f"{a} right"), (1002, f"{b} left"), (1003, f"{b} right")]
+    s = {r["doc_id"]: r["score"] for r in hpylm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") >= 1000).collect()}
+    assert s[1000] > s[1001] + 1 and s[1003] > s[1002] + 1
+    lists = {0: {1 << 60: 5, 1 << 63: 300}, 1: {1 << 60: 7, 3: 1}, 2: {1 << 63: 70_000}}
+    packed = [(k, np.array(sorted(x), np.uint64).tobytes(), np.array([x[n] for n in sorted(x)], np.int64).tobytes()) for k, x in lists.items()]
+    got = {r["bucket"]: list(hpylm._large(bytes(r["totals"]), len(lists[r["bucket"]]))) for r in hpylm.over_buckets(spark.createDataFrame(packed, "bucket int, names binary, totals binary"), 6).collect()}
+    assert got == {0: [12, 70_300], 1: [1, 12], 2: [70_300]}
+
+
 def test_restaurants_are_normalised():
     """With counts and tables of one bucket: the parent and a context sum to one with the unknown word."""
     totals = hpylm.Totals(np.array([0, 10]), np.array([0, 4]), 9, 5, 3, 0.7, 1.0, 0.8, 1.0)
