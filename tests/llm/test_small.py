@@ -327,6 +327,28 @@ def test_gibbs_has_the_right_distribution():
     assert (np.bincount(dish) == 2).mean() == pytest.approx(w / (w + 1 - d), abs=0.02)
 
 
+def test_sweeps_seat_every_customer():
+    """Tables of dishes of thousands of customers against the exact distribution, and of small ones against single moves."""
+    rng = np.random.default_rng(3)
+    for c, d, w in ((3000, 0.6, 2.5), (3000, 0.8, 40.0), (5, 0.3, 0.7)):
+        t = np.arange(min(c, 400) + 1)
+        p = np.zeros(len(t), np.longdouble)  # w ** t S(c, t), scaled, by the recurrence
+        p[1] = 1
+        for j in range(1, c):
+            p = p * np.maximum(j - d * t, 0) + w * np.append(0, p[:-1])
+            p /= p.sum()
+        got = np.bincount(hpylm.draw_tables(np.full(20_000, c), d, np.full(20_000, w), rng), minlength=len(t)) / 20_000
+        assert len(got) == len(t) and (got * t).sum() == pytest.approx((p * t).sum(), rel=0.01) and np.abs(np.cumsum(got) - np.cumsum(p)).max() < 0.02
+    n, d, w = 20_000, 0.5, np.full(20_000, 0.8)
+    customers = np.full(n, 6)
+    dish, size = hpylm.first_tables(customers, np.ones(n, np.int64), rng)
+    dish, _ = hpylm.gibbs(customers, dish, size.copy(), d, w, 60, rng)
+    assert np.bincount(dish).mean() == pytest.approx(hpylm.draw_tables(customers, d, w, rng).mean(), abs=0.04)
+    mixed = np.array([0, 1, 2, 700, 2, 65_000])
+    tables = hpylm.draw_tables(mixed, 0.6, np.array([1.0, 1, 1e-9, 30, 1e9, 5]), rng)
+    assert list(tables[[0, 1, 2, 4]]) == [0, 1, 1, 2] and (tables <= np.maximum(mixed, 0)).all()
+
+
 def test_model_counts(docs, empty):
     rows = hpylm.score_documents(docs, F.col("doc_id") == 9).collect()
     pattern = re.compile(r"[^\x20\x09-\x0D]+")
