@@ -1,6 +1,6 @@
 """Personal data: patterns, and terms that reveal a protected entity.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Around each of them
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. From the whole texts that hold them
 (the protected entities) terms are gathered, and corpus counts tell how strongly a term reveals an entity:
 PMI(e; t) / IC(e), with PMI = log p(e, t) / (p(e) p(t)) and IC = -log p(e) (Sanchez and Batet, 2016). It is
 1 if the term occurs with the entity only. Terms at or above a first threshold are generalised, at or above a second removed.
@@ -25,9 +25,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on either side of a base span in which terms are gathered.
-NEAR = 80
-#: Different texts in which a term must stand near an entity; letters of a term at least.
+#: Different texts in which a term must stand with an entity; letters of a term at least, unless the caller says otherwise.
 SUPPORT, LETTERS = 3, 4
 GENERALISE, REMOVE = 0.8, 0.95
 _WORD = r"\p{L}+"
@@ -95,18 +93,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def revealing_terms(found: DataFrame, docs: DataFrame, text: str, near: int = NEAR, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def revealing_terms(found: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, generalise: float = GENERALISE, letters: int = LETTERS) -> DataFrame:
     """(entity, term, degree): terms whose disclosure degree of an entity is ``generalise`` or more.
 
-    ``found`` has id, text and spans of the rows that have base spans. Only terms that stand within ``near`` code points of an entity in
-    ``support`` different texts are candidates; their counts are taken over all ``docs``.
+    ``found`` has id, text and spans of the rows that have base spans. Only terms of ``letters`` letters or more that stand in
+    ``support`` different texts with an entity are candidates; their counts are taken over all ``docs``.
     """
-    each = found.select("id", "text", F.xxhash64("text").alias("h"), F.explode("spans").alias("s"))
-    around = F.concat(F.substring(F.col("text"), F.greatest(F.col("s.start") - near, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(near))), F.lit(" "), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(near)))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(_WORD), F.lit(0)))
-    near_rows = each.select("id", "h", F.lower("s.value").alias("entity"), F.explode(terms).alias("term")).filter(F.length("term") >= LETTERS)
-    pairs = near_rows.groupBy("entity", "term", "h").agg(F.count_distinct("id").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_both")).filter(F.col("texts") >= support)
-    entities = each.select("id", F.lower("s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    each = found.select("id", "text", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
+    # an entity in too few texts has no term with support
+    held = kept(each.groupBy("entity").agg(F.count_distinct("h").alias("texts"), F.count(F.lit(1)).alias("m")).filter(F.col("texts") >= support).select("entity", "m"))
+    met = keyed_join(each, held, "entity", "m", max(1, found.count()), F.col("id")).filter("m is not null")
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    with_rows = met.select("id", "h", "entity", F.explode(terms).alias("term")).filter(F.length("term") >= letters)
+    pairs = with_rows.groupBy("entity", "term", "h").agg(F.count_distinct("id").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_both")).filter(F.col("texts") >= support)
+    entities = each.select("id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = kept(pairs.join(entities, "entity"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("degree"))
@@ -118,9 +118,9 @@ def revealing_terms(found: DataFrame, docs: DataFrame, text: str, near: int = NE
         ic = F.log(F.lit(float(total)) / F.col("n_entity"))
         return pairs.join(counts, "term").withColumn("degree", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("degree") >= generalise)
 
-    # a term is in no fewer rows than near entities, so what these counts rule out the corpus rules out too
-    near_counts = near_rows.select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    wanted = kept(disclosing(near_counts).select("term").distinct())
+    # a term is in no fewer rows than with entities, so what these counts rule out the corpus rules out too
+    with_counts = with_rows.select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    wanted = kept(disclosing(with_counts).select("term").distinct())
     if wanted.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("degree")).limit(0)
     small = wanted.count() <= BROADCAST_ROWS

@@ -68,7 +68,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, name = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows, name = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), letters=1)
     base, spans = F.col(name["base"]), F.col(name["spans"])
     counts = [F.size(F.filter(base, pii.of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     return rows.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))

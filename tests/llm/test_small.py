@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.llm import decontam, exactdup, fuse, hpylm, htmltext, langid, mixing, neardup, pii, quality, shards
+from meshlark.llm import decontam, exactdup, fuse, hpylm, htmltext, langid, mixing, neardup, pii, quality, queries, shards
 from meshlark.llm import textbytes as tb
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -496,3 +496,13 @@ def test_pii_terms(spark, empty):
     assert [s["kind"] for s in r[n["spans"]]] == ["term", "term", "email"] and r[n["clean"]] == "please write to   at [email] about item 1 soon"
     assert out.filter(f"doc_id >= 100 AND size({n['spans']}) > 0").count() == 0
     assert pii.find(empty)[0].count() == 0
+
+
+def test_pii_terms_far_away_and_short(spark, tmp_path):
+    """The query weighs a name at the other end of the text, and one of two letters; common words stay."""
+    far = "common words that fill the letter " * 12
+    rows = [(k, f"from Wu Zebulon {far} item {k} zq@corp.example.com") for k in range(5)] + [(100 + k, f"from {far} item {k} " + "word " * k) for k in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in queries.op10_personal_data(spark, str(tmp_path)).collect()}
+    end = len(rows[1][1])
+    assert got[1] == f"term:5:7,term:8:15,email:{end - 19}:{end}" and not any(got[k] for k in got if k >= 100)
