@@ -49,10 +49,10 @@ _BOILER = re.compile(
 class Node:
     """An element. ``parts``: its texts and child elements in order."""
 
-    __slots__ = ("away", "chars", "density", "links", "linked", "parts", "tag", "tags", "total", "up")
+    __slots__ = ("away", "chars", "density", "links", "linked", "named", "parts", "tag", "tags", "total", "up")
 
-    def __init__(self, tag: str, up: Node | None, away: bool):
-        self.tag, self.up, self.away = tag, up, away
+    def __init__(self, tag: str, up: Node | None, away: bool, named: bool = False):
+        self.tag, self.up, self.away, self.named = tag, up, away, named
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.linked = self.links = 0
         self.density = self.total = 0.0
@@ -109,16 +109,16 @@ def parse(page: str) -> Node:
                 if x.tag in ends and x.up is not None:
                     here = x.up
                 x = x.up
-        away = tag in AWAY
+        away, named = tag in AWAY, False
         if not away and m.group(3):
             for a in _ATTRIBUTE.finditer(m.group(3)):
                 name = a.group(1).lower()
                 value = a.group(2) or a.group(3) or a.group(4) or ""
                 if name in ("class", "id", "role") and tag not in ("article", "main", "body") and _BOILER.search(value):
-                    away = True
+                    named = True
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                     away = True
-        node = Node(tag, here, away)
+        node = Node(tag, here, away, named)
         here.parts.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in RAW and tag not in BLOCK:
             continue
@@ -133,6 +133,21 @@ def parse(page: str) -> Node:
     return root
 
 
+def _sift(root: Node) -> None:
+    """Puts away elements with a boilerplate name, except those that hold most of the page's text outside links."""
+    order, stack, plain = [], [(root, False)], {}
+    while stack:
+        x, link = stack.pop()
+        order.append(x)
+        link = link or x.tag == "a"
+        plain[x] = 0 if link else sum(len(_SPACE.sub("", p)) for p in x.parts if isinstance(p, str))
+        stack += [(p, link) for p in x.parts if isinstance(p, Node) and not p.away]
+    for x in reversed(order):
+        plain[x] += sum(plain[p] for p in x.parts if isinstance(p, Node) and not p.away)
+    for x in order:
+        x.away = x.away or x.named and plain[x] * 2 <= plain[root]
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts characters, tags and those in links from the leaves up; the elements in page order."""
     order, stack = [], [root]
@@ -166,18 +181,16 @@ def blocks(page: str | None) -> list[str]:
     if not page:
         return []
     root = parse(page)
+    _sift(root)
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     inner = order[order.index(body) :]
     top = max(inner, key=lambda x: x.total, default=body)
-    named = [x for x in inner if x.tag in ("article", "main") and x.chars]
     way = top
     while way is not None and way.tag not in ("article", "main"):
         way = way.up
     if way is not None:
         top = way
-    elif named and max(x.chars for x in named) * 2 >= top.chars:
-        top = max(named, key=lambda x: x.chars)
     bound, x = math.inf, top
     while x is not None:
         if x.chars:

@@ -122,6 +122,17 @@ def test_html(page, want):
     assert htmltext.main_text(page) == want
 
 
+def test_html_keeps_the_main_text():
+    """A teaser article does not replace a longer text, and a wrapper with a boilerplate word in its class stays."""
+    story = "<p>" + "</p><p>".join(f"Sentence {k} of the long story is here. " * 10 for k in range(8)) + "</p>"
+    teaser = "<article><p>" + "Read the other story now. " * 62 + "</p></article>"
+    assert "Sentence 7 of" in htmltext.main_text(f"<body><div class=content>{story}</div>{teaser}</body>")
+    two = htmltext.main_text(f"<body><div><article>{'first part ' * 60}</article><article>{'second part ' * 50}</article></div></body>")
+    assert "first part" in two and "second part" in two
+    wrapped = htmltext.main_text(f"<body><div class='content has-sidebar'>{story}<div class=sidebar><p>aside</p></div></div></body>")
+    assert "Sentence 7 of" in wrapped and "aside" not in wrapped
+
+
 def test_html_never_fails():
     rng = random.Random(5)
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "<!--", "-->", "<", ">", "&amp;", "&#x;", "text ", "<a href=\"", "<script>", "</table>", "<li>", "<td>", "\x00", "ü"]
