@@ -3,9 +3,10 @@
 Two small collections of HALVES half-keys of ROWS minhashes each are computed for a document; a table key is
 a pair of one of either, so HALVES ** 2 tables cost 2 * HALVES * ROWS minhashes instead of HALVES ** 2 * 2 * ROWS.
 Only half-keys that some other document shares are paired. Documents with equal sets are one class from the start.
-Classes are compared with leaders of their buckets; what is then not yet connected is compared in further rounds,
-until no bucket holds two components of which some pair was not compared. Pairs that are in one component already
-need no comparison, and pairs whose set sizes can't link or whose parity sketches differ far too much get none.
+Classes are first compared with one other member of their buckets, the one that most of their tables lead to; links join components.
+That is repeated for buckets that still hold two components as long as it links enough of what it compares. Members of buckets that then
+still hold two are all compared with members of other components, behind bounds that lose no link: of their sets, ordered by rarity, links
+share a shingle of the first quarter (prefix filter), set sizes are near, and parity sketches differ in no more bits than linked sets may.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.llm import textbytes as tb
-from meshlark.llm.spread import BROADCAST_ROWS, kept, keyed_join
+from meshlark.llm.spread import BROADCAST_ROWS, Tables, fresh, keyed_join
 
 SHINGLE = 5
 #: Half-keys of each of the two collections, and minhashes of each half-key. At similarity 0.75 a pair is
-#: missed with probability 2 * (1 - 0.75 ** ROWS) ** HALVES, about 3e-4; at 0.8 about 2e-5.
-HALVES, ROWS = 16, 3
-#: Bits of a set's parity sketch, and standard deviations that a pair may lie beyond what a link's sketches differ by.
-SKETCH_BITS, BEYOND = 512, 5
-#: Leaders that a document is compared with at first.
-LEADERS = 4
+#: missed with probability 2 * (1 - 0.75 ** ROWS) ** HALVES, about 2e-4; at 0.8 about 7e-6.
+HALVES, ROWS = 24, 4
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 1024
+#: Rounds of comparisons with one chosen member go on while one in so many is a link.
+FRUITFUL = 10
 #: A pair is a link if LINK[1] * common >= LINK[0] * union.
 LINK = (75, 100)
 
@@ -70,7 +71,7 @@ def half_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """A set's parity sketch (Mitzenmacher, Pagh and Pham, 2014): each element flips a bit, so two sketches differ by their symmetric difference only."""
+    """A set's parity sketch (Mitzenmacher, Pagh and Pham, 2014): each element flips a bit. Two sketches differ in no more bits than the sets in elements."""
     flips = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
@@ -104,6 +105,15 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], ["id", "set"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key) for each shingle of batches of (id, set)."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        if sets:
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(sets))], ["id", "key"])
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, common, union) of batches of (a, b, set_a, set_b)."""
     for batch in batches:
@@ -119,39 +129,49 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "union"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with common and union of their full sets. Both joins are on plain keys, so that a leader with many pairs can be split."""
-    one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+def compared(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
+    """``pairs`` (a, b) with common and union of their full sets. ``few``: the pairs' rows were counted and may be broadcast.
+
+    The last join is on the plain key ``a``, so that Spark can split a leader with many pairs.
+    """
+    small = F.broadcast if few else lambda df: df
+    one = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")).join(small(pairs), "b")
+    two = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")).join(small(pairs.select("a").distinct()), "a", "left_semi")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(_common, f"a {kind}, b {kind}, common bigint, union bigint")
+    return one.join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(_common, f"a {kind}, b {kind}, common bigint, union bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Tables | None = None) -> DataFrame:
     """(id, comp): the smallest id that the links (a, b) connect each id with; ids of links only.
 
-    Alternates the two star operations of Kiveris et al. (2014) until nothing changes: O(log^2 n) rounds of
-    shuffles in which no task holds more than the links of rows that share a key.
+    In a round every node that has a larger neighbour hooks to the largest, trees are flattened by pointer jumping, and links are
+    moved to the roots. A root that no neighbour hooked to has a larger neighbour in the next round, so O(log n) rounds do.
     """
-    edges = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    if edges.isEmpty():
+    work = work or Tables(links.sparkSession, "components")
+    edges = work.keep("edges", links.select("a", "b").filter("a != b").distinct())
+    labels = None
+    while n := edges.count():
+        small = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+        hooks = work.keep("hooks", edges.groupBy(F.least("a", "b").alias("id")).agg(F.max(F.greatest("a", "b")).alias("comp")))
+        while True:
+            over = small(hooks.select(F.col("id").alias("comp"), F.col("comp").alias("root")))
+            jumped = hooks.join(over, "comp", "left")
+            if jumped.filter("root is not null").isEmpty():
+                break
+            hooks = work.keep("hooks", jumped.select("id", F.coalesce("root", "comp").alias("comp")))
+        over = small(hooks.toDF("old", "root"))
+        moved = edges.join(over, F.col("a") == F.col("old"), "left").select(F.coalesce("root", "a").alias("a"), "b")
+        moved = moved.join(over, F.col("b") == F.col("old"), "left").select("a", F.coalesce("root", "b").alias("b")).filter("a != b").distinct()
+        edges = work.keep("edges", moved)
+        if labels is not None:
+            hooks = hooks.unionByName(labels.join(over, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
+        labels = work.keep("labels", hooks)
+    if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    seen = None
-    while True:
-        # large star: every larger neighbour of a node is linked with the node's smallest neighbour
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours are linked with the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = kept(small.filter("a != b"))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("id"), "comp")
-        seen = now
+    least = labels.groupBy("comp").agg(F.least(F.min("id"), F.col("comp")).alias("least"))
+    every = labels.unionByName(labels.select(F.col("comp").alias("id"), "comp").distinct())
+    least = F.broadcast(least) if labels.count() <= BROADCAST_ROWS else least
+    return every.join(least, "comp").select("id", F.col("least").alias("comp"))
 
 
 def _fits(one: str, two: str):
@@ -159,96 +179,106 @@ def _fits(one: str, two: str):
     return F.least(one, two) * LINK[1] >= F.greatest(one, two) * LINK[0]
 
 
-def _alike():
-    """Whether the sketches of two rows (the other's columns begin with l) differ by no more than those of a link can, but for chance.
+def _may_link():
+    """Whether sketches allow a link of two rows, the other's columns beginning with l.
 
-    A link's sets differ in at most (1 - t) / (1 + t) of their sizes' sum. The sketches of large sets say nothing and pass.
+    Links have a symmetric difference of at most (1 - t) / (1 + t) of the sizes' sum, and sketches differ in no more bits than that.
     """
     differ = None
     for c in BITS:
         n = F.bit_count(F.col(c).bitwiseXOR(F.col("l" + c)))
         differ = n if differ is None else differ + n
-    t, size = LINK[0] / LINK[1], float(SKETCH_BITS)
-    x = (F.col("n") + F.col("ln")) * ((1 - t) / (1 + t) / size)
-    mean = (1 - F.exp(-2 * x)) * (size / 2)
-    spread = F.sqrt((1 - F.exp(-4 * x) * (1 + 4 * x)) * (size / 4) + 1e-9)
-    return differ <= mean + BEYOND * spread + 1
-
+    return differ * (LINK[1] + LINK[0]) <= (F.col("n") + F.col("ln")) * (LINK[1] - LINK[0])
 
-def link_classes(reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, comp) of the linked among ``reps`` (id, n, u, v, BITS), whose texts ``docs`` has.
 
-    Documents first meet the leader of their buckets that meets most others. Of a bucket that then still holds two components, all
-    members outside the largest one meet all members, some at a time: whatever pair could join two components has one of them.
-    """
-    shared = []
-    for side in ("u", "v"):
-        rows = reps.select("id", F.explode(side).alias("key"))
-        met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        shared.append(rows.join(met, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), F.sum("m").alias("m")))
-    u, v = shared
-    halves = u.join(v.select("id", F.col("keys").alias("others"), F.col("m").alias("m2")), "id").join(reps.select("id", "n", *BITS), "id")
-    halves = kept(halves.select("id", "n", *BITS, (F.col("m") + F.col("m2")).alias("met"), "keys", "others"))
+def link_classes(reps: DataFrame, docs: DataFrame, doc_id: str, text: str, work: Tables) -> DataFrame:
+    """(id, comp) of the linked among ``reps`` (id, n, u, v, BITS), whose texts ``docs`` has."""
+    # half-keys tell by their hash which they are; those of one document only are left out
+    each = reps.select("id", "n", F.explode(F.concat(F.transform("u", lambda k: F.struct(F.lit(True).alias("first"), k.alias("key"))), F.transform("v", lambda k: F.struct(F.lit(False).alias("first"), k.alias("key"))))).alias("h")).select("id", "n", "h.*")
+    met = work.keep("met", each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    shared = keyed_join(each, met, "key", "m", max(1, reps.count()), F.col("id")).filter("m is not null")
+    sided = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("key")))
+    halves = shared.groupBy("id").agg(F.any_value("n").alias("n"), F.sum("m").alias("met"), sided(True).alias("keys"), sided(False).alias("others"))
+    halves = work.keep("halves", halves.filter("size(keys) > 0 and size(others) > 0"))
+    total = halves.count()
 
     def tables(rows: DataFrame, *columns: str) -> DataFrame:
         """A row for each table key of a document."""
-        each = rows.select("id", *columns, F.explode("keys").alias("ku"), "others")
-        return each.select("id", *columns, "ku", F.explode("others").alias("kv")).select("id", *columns, F.xxhash64("ku", "kv").alias("key"))
-
-    lead = tables(halves, "n", "met").groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "l.*")
-    lead = lead.select("key", F.col("id").alias("lid"), F.col("met").alias("lmet"), F.col("n").alias("ln"))
-    first = F.collect_set(F.when((F.col("id") != F.col("lid")) & _fits("n", "ln"), F.struct("lmet", "lid")))
-    met = kept(tables(halves, "n").join(lead, "key").groupBy("id").agg(F.slice(F.sort_array(first, asc=False), 1, LEADERS).alias("leaders")))
+        one = rows.select("id", *columns, F.explode("keys").alias("ku"), "others")
+        return one.select("id", *columns, "ku", F.explode("others").alias("kv")).select("id", *columns, F.xxhash64("ku", "kv").alias("key"))
+
+    lead = tables(halves, "n", "met").groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    lead = work.keep("lead", lead.select("key", "size", F.col("l.id").alias("lid"), F.col("l.n").alias("ln")))
+    meets = keyed_join(tables(halves, "n"), lead, "key", "size", total, F.col("id")).filter("size is not null")
+    other = F.when((F.col("id") != F.col("lid")) & _fits("n", "ln"), F.col("lid"))
+    met = work.keep("chosen", meets.groupBy("id").agg(F.mode(other, True).alias("lid")))
     some = met.select("id")
-    few = some.count() <= 5 * BROADCAST_ROWS
+    few = met.count() <= BROADCAST_ROWS
     kind = reps.schema["id"].dataType.simpleString()
     wanted = docs.select(text, F.col(doc_id).alias("id")).join(F.broadcast(some) if few else some, "id", "left_semi").select(text, "id")
-    sets = kept(wanted.mapInArrow(_set_rows, f"id {kind}, set binary").dropDuplicates(["id"]))
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs with what they have in common, and those that are links."""
-        got = kept(compared(pairs, sets))
-        return got, got.filter(F.col("common") * LINK[1] >= F.col("union") * LINK[0]).select("a", "b")
-
-    sketches = halves.select("id", "n", *BITS)
-    ahead = sketches.toDF(*["l" + c for c in sketches.columns])
-    pairs = met.select("id", F.explode("leaders.lid").alias("lid")).join(sketches, "id").join(ahead, "lid").filter(_alike())
-    known, links = verified(kept(pairs.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()))
-    known = known.select("a", "b")
-    comps = kept(components(links))
-    # from here a bucket is one half-key of the first collection; a table key in common is tested for, and the pair taken where their first common half-key is
-    rows = halves.join(some, "id", "left_semi").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = rows.select("id", "n", "comp", "keys", "others", *BITS, F.explode("keys").alias("key"))
-    two = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    rows = kept(rows.join(two, "key").withColumn("led", F.lit(False)))
+    sets = work.keep("sets", wanted.mapInArrow(_set_rows, f"id {kind}, set binary"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b), a table of its own."""
+        got = compared(pairs, sets, pairs.count() <= BROADCAST_ROWS)
+        return work.keep("links", got.filter(F.col("common") * LINK[1] >= F.col("union") * LINK[0]).select("a", "b"))
+
+    comps = work.keep("comps", components(linked(work.keep("pairs", met.filter("lid is not null").select(F.col("lid").alias("a"), F.col("id").alias("b")))), work))
+
+    def joined_by(links: DataFrame) -> DataFrame:
+        """Components after more links: they join components, not documents."""
+        over = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
+        ends = links.join(over.toDF("a", "ca"), "a", "left").join(over.toDF("b", "cb"), "b", "left")
+        new = work.keep("joined", components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), work).toDF("old", "new"))
+        over = F.broadcast(new) if new.count() <= BROADCAST_ROWS else new
+        moved = comps.join(over, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp"))
+        return work.keep("comps", moved.unionByName(new.join(comps, F.col("old") == F.col("id"), "left_anti").toDF("id", "comp")))
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """Rows of buckets with two components, with ``outside``: not in the bucket's largest; ``rest``: how many of those have not led, more than none."""
-        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("led")).alias("r"))
-        state = sizes.groupBy("key").agg(F.max(F.struct("c", "comp", "r")).alias("major"), F.count(F.lit(1)).alias("k"), F.sum("r").alias("r"))
-        state = state.select("key", F.col("major.comp").alias("major"), (F.col("r") - F.col("major.r")).alias("rest"), "k").filter("k > 1 and rest > 0").drop("k")
-        return kept(rows.drop("major", "rest").join(state, "key"))
+        """Table keys (key, id, n, met, comp) of buckets that hold two components, with ``major``, the largest of them, ``outside``, members of others, and ``size``."""
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        state = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("l"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        state = work.keep("state", state.select("key", "size", F.col("l.comp").alias("major"), (F.col("size") - F.col("l.c")).alias("outside")))
+        return work.keep("open", keyed_join(rows, state, "key", "size", total, F.col("id")).filter("size is not null"))
+
+    def with_comps(rows: DataFrame) -> DataFrame:
+        over = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
+        return rows.drop("comp").join(over, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    rows, many = still_open(rows), 32
+    rows, k = still_open(tables(with_comps(halves.join(F.broadcast(some) if few else some, "id", "left_semi")), "n", "met", "comp")), 0
     while not rows.isEmpty():
-        outside = (F.col("comp") != F.col("major")) & ~F.col("led")
-        chosen = outside & (F.pmod(F.xxhash64("id", "key"), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000 * many) / F.col("rest")))
-        rows = rows.withColumn("now", chosen)
-        lead = rows.filter("now").select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lc"), F.col("keys").alias("lkeys"), F.col("others").alias("lothers"), *[F.col(c).alias("l" + c) for c in BITS])
-        once = F.arrays_overlap("others", "lothers") & (F.array_min(F.array_intersect("keys", "lkeys")) == F.col("key"))
-        pairs = rows.join(lead, "key").filter((F.col("comp") != F.col("lc")) & _fits("n", "ln") & _alike() & once).select(F.least("lid", "id").alias("a"), F.greatest("lid", "id").alias("b")).distinct()
-        got, more = verified(kept(pairs.join(known, ["a", "b"], "left_anti")))
-        known = known.unionByName(got.select("a", "b"))
-        rows = rows.withColumn("led", F.col("led") | F.col("now")).drop("now")
-        if not more.isEmpty():  # the new links join components, not documents
-            ends = more.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
-            joined = kept(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("old", "new"))
-            moved = comps.join(joined, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp"))
-            comps = kept(moved.unionByName(joined.join(comps, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("comp"))))
-            rows = rows.join(joined, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
-        rows = still_open(rows)
-        many *= 4
-    return comps
+        # a leader of a bucket's largest component meets the others, each of which meets one leader: the commonest of its buckets
+        best = F.struct("met", "id", "n") if not k else F.struct(F.xxhash64("id", F.lit(k)), "id", "n")
+        lead = rows.filter("comp = major").groupBy("key").agg(F.max(best).alias("l"), F.any_value("size").alias("size"))
+        lead = work.keep("lead", lead.select("key", "size", F.col("l.id").alias("lid"), F.col("l.n").alias("ln")))
+        meets = keyed_join(rows.filter("comp != major").select("id", "n", "key"), lead, "key", "size", total, F.col("id")).filter(_fits("n", "ln"))
+        pairs = work.keep("pairs", meets.groupBy("id").agg(F.mode("lid", True).alias("lid")).select(F.col("lid").alias("a"), F.col("id").alias("b")))
+        links = linked(pairs)
+        if found := links.count():
+            comps = joined_by(links)
+            rows = still_open(with_comps(rows).select("id", "n", "met", "key", "comp"))
+        if found * FRUITFUL < pairs.count():
+            break
+        k += 1
+    # what is open now meets on shingles of its prefixes only: those common to many documents come last in every set
+    left = rows.select("id").distinct()
+    left = work.keep("left", left)
+    each = sets.join(F.broadcast(left) if left.count() <= BROADCAST_ROWS else left, "id", "left_semi").select("id", "set").mapInArrow(_shingles, f"id {kind}, key bigint")
+    held = work.keep("held", each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    ranked = keyed_join(each, held, "key", "df", max(1, 64 * total), F.col("id")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("s"))
+    needed = F.floor((F.size("s") * LINK[0] + LINK[1] - 1) / LINK[1]).cast("int")
+    prefix = ranked.select("id", F.size("s").cast("bigint").alias("n"), F.explode(F.slice("s", F.lit(1), F.size("s") - needed + 1)).alias("p")).filter("p.df > 1").select("id", "n", F.col("p.key").alias("key"))
+    rows = still_open(with_comps(work.keep("prefix", prefix)))
+    # of any two components one is outside a bucket's largest; a bucket is dealt out by such members
+    slots = F.ceil(F.col("outside") / 64).cast("int")
+    slot = F.pmod(F.xxhash64("id"), slots).cast("int")
+    outer = rows.filter("comp != major").select("key", slot.alias("slot"), F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
+    inner = rows.select("key", "id", "n", "comp", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
+    pairs = inner.join(outer, ["key", "slot"]).filter((F.col("comp") != F.col("lc")) & _fits("n", "ln")).select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
+    sketches = reps.select("id", "n", *BITS).join(F.broadcast(some) if few else some, "id", "left_semi")
+    near = pairs.join(sketches.withColumnRenamed("id", "b"), "b").join(sketches.toDF("a", *["l" + c for c in sketches.columns[1:]]), "a").filter(_may_link()).select("a", "b")
+    links = linked(work.keep("pairs", near))
+    return comps if links.isEmpty() else joined_by(links)
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,18 +286,22 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. The smallest id of a component stays. Null, empty and blank texts have
     no shingles and are linked with nothing, nor are rows without an id; repeated rows are one document and all say the same. An empty
-    table gives an empty result.
+    table gives an empty result. Tables that the result does not read are deleted on the way.
     """
+    work = Tables(docs.sparkSession, "near")
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(text, F.col(doc_id).alias("doc_id")).mapInArrow(_sketch, f"doc_id {kind}, n bigint, digest string, u array<bigint>, v array<bigint>, " + ", ".join(f"{c} bigint" for c in BITS))
-    rows = kept(rows)
+    rows = work.keep("sketched", rows)
     total = rows.count()
-    classes = kept(rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m"), F.any_value("n").alias("n")))
-    heads = rows.join(classes.select(F.col("digest").alias("d"), F.col("id").alias("i")), (F.col("doc_id") == F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
-    heads = heads.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "u", "v", *BITS)
-    comps = link_classes(heads, docs, doc_id, text)
-    table = classes.join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"), "m").filter("m > 1 or component_id is not null")
-    out = keyed_join(rows.select("doc_id", F.col("n").alias("n_shingles"), "digest"), table, "digest", "m", total, F.col("doc_id"))
+    heads = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n", "u", "v", *BITS)).alias("r"), F.count(F.lit(1)).alias("m"))
+    classes = work.keep("classes", heads.select("digest", "m", "r.*"))
+    comps = link_classes(classes.filter("id is not null").select("id", "n", "u", "v", *BITS), docs, doc_id, text, work)
+    few = comps.count() <= BROADCAST_ROWS
+    table = classes.select("digest", "m", "id").join(F.broadcast(comps) if few else comps, "id", "left")
+    table = work.keep("table", table.select("digest", F.coalesce("comp", "id").alias("component_id"), "m").filter("m > 1 or comp is not null"))
+    slim = work.keep("slim", rows.select("doc_id", F.col("n").alias("n_shingles"), "digest"))
+    work.drop("sketched", "classes", "met", "halves", "lead", "chosen", "sets", "pairs", "links", "comps", "joined", "state", "open", "left", "held", "prefix", "edges", "hooks", "labels")
+    out = keyed_join(slim, table, "digest", "m", total, F.col("doc_id"))
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
@@ -277,5 +311,6 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Rows that repeat an id stay with it: they are one document.
     """
-    away = near_groups(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(away, F.col(doc_id) == F.col("__id"), "left_anti")
+    name = fresh(docs.columns, "away")
+    away = near_groups(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(away, F.col(doc_id) == F.col(name), "left_anti")

@@ -16,12 +16,36 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; ours only where the session names none, as in tests."""
+    """The folder that all executors share. Ours only where the session names none and runs on one machine, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "/tmp/checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or "/tmp/checkpoints")
-    return named or "/tmp/checkpoints"
+        sc.setCheckpointDir(named)
+    return named
+
+
+class Tables:
+    """Tables that a job writes in the shared folder to cut lineage: each name's newest version is kept, older ones are deleted."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path, self.paths, self.made = spark, scratch(spark, what), {}, 0
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as written and read again. Frames that read an older table of the same name end with this."""
+        self.made += 1
+        path = f"{self.path}/{name}-{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for path in [self.paths.pop(n) for n in names if n in self.paths]:
+            remove(self.spark, path)
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -58,13 +82,15 @@ def keyed_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: in
     A null key finds nothing.
     """
     more = [c for c in table.columns if c != key]
+    taken = [*rows.columns, *table.columns]
+    k1, k2, is_hot, own, salt, salt2, h, c_ = (fresh(taken, x) for x in ("hot_key", "cold_key", "is_hot", "own_key", "salt_of_row", "salt_of_key", "h", "c"))
     hot = F.col(size) > max(HOT_LEAST, total // HOT_KEYS)
-    first = table.filter(hot).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__h_{c}") for c in more], F.lit(True).alias("__hot"))
-    rest = table.filter(~hot).select(F.col(key).alias("__k2"), *[F.col(c).alias(f"__c_{c}") for c in more])
-    met = rows.join(F.broadcast(first), F.col(key) == F.col("__k"), "left").drop("__k")
+    first = table.filter(hot).select(F.col(key).alias(k1), *[F.col(c).alias(f"{h}_{c}") for c in more], F.lit(True).alias(is_hot))
+    rest = table.filter(~hot).select(F.col(key).alias(k2), *[F.col(c).alias(f"{c_}_{c}") for c in more])
+    met = rows.join(F.broadcast(first), F.col(key) == F.col(k1), "left").drop(k1)
     kind = table.schema[key].dataType.simpleString()
     away = F.lit(None).cast(kind)
-    met = met.withColumn("__j", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(away)).withColumn("__s", F.when(F.col("__j").isNull(), F.xxhash64(spread)))
-    rest = rest.withColumn("__s2", F.lit(None).cast("bigint"))
-    met = met.join(rest, F.col("__j").eqNullSafe(F.col("__k2")) & F.col("__s").eqNullSafe(F.col("__s2")), "left")
-    return met.select(*rows.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in more])
+    met = met.withColumn(own, F.when(F.col(is_hot).isNull(), F.col(key)).otherwise(away)).withColumn(salt, F.when(F.col(own).isNull(), F.xxhash64(spread)))
+    rest = rest.withColumn(salt2, F.lit(None).cast("bigint"))
+    met = met.join(rest, F.col(own).eqNullSafe(F.col(k2)) & F.col(salt).eqNullSafe(F.col(salt2)), "left")
+    return met.select(*rows.columns, *[F.coalesce(F.col(f"{h}_{c}"), F.col(f"{c_}_{c}")).alias(c) for c in more])

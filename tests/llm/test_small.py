@@ -194,7 +194,7 @@ def brute_near(rows):
 
     for a, x in sets:
         for b, y in sets:
-            if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if a < b and x and y and 75 * max(len(x), len(y)) <= 100 * min(len(x), len(y)) and 100 * len(x & y) >= 75 * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 up[q] = p
     return {i: (len(s), find(i)) for i, s in sets}
@@ -215,6 +215,36 @@ def test_near_copies_against_all_pairs(spark, docs):
     assert got == brute_near(rows)
 
 
+def test_near_copies_that_share_a_passage(spark):
+    """Many texts with one long passage, below the bound by pairs, and copies of some of them: all buckets stay open, and no link is lost."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        w = [f"u{rng.randrange(10**6)}" for _ in range(14)] + passage + [f"u{rng.randrange(10**6)}" for _ in range(14)]
+        rows.append((k, " ".join(w)))
+        if k % 10 == 0:
+            w[rng.randrange(len(w))] = "changed"
+            rows.append((1000 + k, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_near(rows)
+
+
+def test_near_copies_on_the_test_documents(spark):
+    """Every component of sf0.01 against all pairs."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_groups(df).collect()}
+    assert got == brute_near([(r["doc_id"], r["text"]) for r in df.collect()])
+
+
+def test_sketches_never_differ_in_more_bits_than_sets():
+    rng = np.random.default_rng(5)
+    for n, m in ((10, 3), (300, 80), (3000, 900), (50, 5000)):
+        common, one, two = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, m, m // 2))
+        a, b = (neardup.parity(np.unique(np.concatenate([common, x]))) for x in (one, two))
+        assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= m + m // 2
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
