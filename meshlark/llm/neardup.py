@@ -6,7 +6,7 @@ Only half-keys that some other document shares are paired. Documents with equal
 Classes are first compared with one other member of their buckets, the one that most of their tables lead to; links join components.
 That is repeated for buckets that still hold two components as long as it links enough of what it compares. Members of buckets that then
 still hold two are all compared with members of other components, behind bounds that lose no link: of their sets, ordered by rarity, links
-share a shingle of the first quarter (prefix filter), set sizes are near, and parity sketches differ in no more bits than linked sets may.
+share a shingle of the first quarter (prefix filter, with its bound by position), set sizes are near, and parity sketches differ in no more bits than linked sets may.
 """
 
 from __future__ import annotations
@@ -267,16 +267,18 @@ def link_classes(reps: DataFrame, docs: DataFrame, doc_id: str, text: str, work:
     held = work.keep("held", each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     ranked = keyed_join(each, held, "key", "df", max(1, 64 * total), F.col("id")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("s"))
     needed = F.floor((F.size("s") * LINK[0] + LINK[1] - 1) / LINK[1]).cast("int")
-    prefix = ranked.select("id", F.size("s").cast("bigint").alias("n"), F.explode(F.slice("s", F.lit(1), F.size("s") - needed + 1)).alias("p")).filter("p.df > 1").select("id", "n", F.col("p.key").alias("key"))
+    sketches = reps.select("id", "n", *BITS).join(F.broadcast(left) if left.count() <= BROADCAST_ROWS else left, "id", "left_semi")
+    prefix = ranked.join(sketches, "id").select("id", "n", *BITS, F.posexplode(F.slice("s", F.lit(1), F.size("s") - needed + 1)).alias("at", "p")).filter("p.df > 1").select("id", "n", *BITS, "at", F.col("p.key").alias("key"))
     rows = still_open(with_comps(work.keep("prefix", prefix)))
     # of any two components one is outside a bucket's largest; a bucket is dealt out by such members
     slots = F.ceil(F.col("outside") / 64).cast("int")
     slot = F.pmod(F.xxhash64("id"), slots).cast("int")
-    outer = rows.filter("comp != major").select("key", slot.alias("slot"), F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
-    inner = rows.select("key", "id", "n", "comp", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
-    pairs = inner.join(outer, ["key", "slot"]).filter((F.col("comp") != F.col("lc")) & _fits("n", "ln")).select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
-    sketches = reps.select("id", "n", *BITS).join(F.broadcast(some) if few else some, "id", "left_semi")
-    near = pairs.join(sketches.withColumnRenamed("id", "b"), "b").join(sketches.toDF("a", *["l" + c for c in sketches.columns[1:]]), "a").filter(_may_link()).select("a", "b")
+    # at the first shingle that links have in common, so many more must follow in both
+    ahead = F.least(F.col("n") - F.col("at"), F.col("ln") - F.col("lat")) * (LINK[0] + LINK[1]) >= (F.col("n") + F.col("ln")) * LINK[0]
+    outer = rows.filter("comp != major").select("key", slot.alias("slot"), F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lc"), F.col("at").alias("lat"), *[F.col(c).alias("l" + c) for c in BITS])
+    inner = rows.select("key", "id", "n", "comp", "at", *BITS, F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
+    near = inner.join(outer, (inner["key"] == outer["key"]) & (inner["slot"] == outer["slot"]) & (F.col("comp") != F.col("lc")) & _fits("n", "ln") & ahead & _may_link())
+    near = near.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
     links = linked(work.keep("pairs", near))
     return comps if links.isEmpty() else joined_by(links)
 
