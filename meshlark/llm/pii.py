@@ -25,9 +25,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Different texts in which a term must stand with an entity; letters of a term at least, unless the caller says otherwise.
-SUPPORT, LETTERS = 3, 4
+#: Different texts in which a term must stand with an entity; letters of a term at least.
+SUPPORT, LETTERS = 3, 1
 GENERALISE, REMOVE = 0.8, 0.95
+#: Matches whose places are put together at once.
+BLOCK = 256
 _WORD = r"\p{L}+"
 _EMPTY = "cast(array() as array<struct<start:int,ord:int,end:int,kind:string,value:string>>)"
 
@@ -62,14 +64,22 @@ def matches(text: Column, pattern: Column | str, kind: str, order: int) -> Colum
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
     kind_of = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
+    def place(acc: Column, p: Column) -> Column:
         at = acc["at"] + p["gap"]
         end = at + F.length(p["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), p["m"].alias("value"))).cast(kind_of)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def block(acc: Column, b: Column) -> Column:
+        done = F.aggregate(b, F.struct(acc["at"].alias("at"), F.expr(_EMPTY).alias("out")), place)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    def placed(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(pairs) - 1, F.lit(0)) / BLOCK).cast("int")), lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind_of}>)").alias("out")), block, lambda acc: acc["out"]))
+
+    # appending copies a list, so lists are put together in blocks; the one-element array names the matches, which are found once
+    return F.transform(F.array(pairs), placed)[0]
 
 
 def of_kind(kind: str):
@@ -140,30 +150,31 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove: fl
     with_base = docs.withColumn(names["base"], base_spans(F.col(text)))
     found = kept(with_base.filter(F.size(names["base"]) > 0).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(names["base"]).alias("spans")))
     risky = kept(revealing_terms(found, docs, text, **options))
+    terms_of, by, of_text = (fresh([*docs.columns, *names.values()], x) for x in ("pii_terms", "pii_id", "pii_text"))
     if risky.isEmpty():
-        out = with_base.withColumn("__terms", F.expr("cast(null as array<struct<term:string,degree:double>>)"))
+        out = with_base.withColumn(terms_of, F.expr("cast(null as array<struct<term:string,degree:double>>)"))
     else:
         of_entity = risky.groupBy("entity").agg(F.collect_list(F.struct("term", "degree")).alias("terms"))
         holders = found.select("id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
         sizes = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
         met = keyed_join(holders, of_entity.join(sizes, "entity"), "entity", "m", max(1, found.count()), F.col("id")).filter("terms is not null")
-        own = met.select("id", "h", F.explode("terms").alias("t")).groupBy("id", "h", "t.term").agg(F.max("t.degree").alias("degree")).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("__terms"))
-        own = kept(own.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__terms"))
+        own = met.select("id", "h", F.explode("terms").alias("t")).groupBy("id", "h", "t.term").agg(F.max("t.degree").alias("degree")).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("terms"))
+        own = kept(own.select(F.col("id").alias(by), F.col("h").alias(of_text), F.col("terms").alias(terms_of)))
         own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
-        out = with_base.join(own, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("__terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    terms = F.when(F.col("__terms").isNotNull(), F.filter(matches(F.col(text), pattern, "term", len(KINDS)), lambda s: ~F.exists(names["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.expr(_EMPTY))
+        out = with_base.join(own, F.col(doc_id).eqNullSafe(F.col(by)) & (F.xxhash64(text) == F.col(of_text)), "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform(terms_of, lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    terms = F.when(F.col(terms_of).isNotNull(), F.filter(matches(F.col(text), pattern, "term", len(KINDS)), lambda s: ~F.exists(names["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.expr(_EMPTY))
     out = out.withColumn(names["spans"], F.sort_array(F.concat(names["base"], F.coalesce(terms, F.expr(_EMPTY)))))
 
     def shown(s: Column) -> Column:
-        strong = F.exists(F.coalesce("__terms", F.expr("cast(array() as array<struct<term:string,degree:double>>)")), lambda t: (t["term"] == F.lower(s["value"])) & (t["degree"] >= remove))
+        strong = F.exists(F.coalesce(terms_of, F.expr("cast(array() as array<struct<term:string,degree:double>>)")), lambda t: (t["term"] == F.lower(s["value"])) & (t["degree"] >= remove))
         return F.when(s["kind"] != "term", F.concat(F.lit("["), s["kind"], F.lit("]"))).when(strong, "").otherwise(F.concat(F.substring(s["value"], 1, 1), F.lit(".")))
 
     def step(acc: Column, s: Column) -> Column:
         fits = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), shown(s))
-        return F.struct(F.when(fits, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(fits, piece).otherwise(acc["out"]).alias("out"))
+        more = F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), shown(s)))
+        return F.struct(F.when(fits, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(fits, more).otherwise(acc["out"]).alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
-    clean = F.aggregate(names["spans"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
+    clean = F.aggregate(names["spans"], F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step, rest)
     return out.withColumn(names["clean"], F.when(F.size(names["spans"]) > 0, clean).otherwise(F.col(text))).select(*docs.columns, *names.values()), names

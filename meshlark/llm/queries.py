@@ -64,11 +64,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names, _ = shards.shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"))
-    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.col(names["shard"]).alias("shard"), F.col(names["version"]).alias("version"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.col(names["shard"]).endswith(".parquet").alias("in_shard"), (F.col(names["version"]) > 0).alias("committed"))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, name = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), letters=1)
+    rows, name = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = F.col(name["base"]), F.col(name["spans"])
     counts = [F.size(F.filter(base, pii.of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     return rows.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
@@ -157,6 +157,7 @@ FROM dw d LEFT JOIN n_hit h ON d.doc_id = h.doc_id LEFT JOIN its t ON d.doc_id =
 SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """,
+    "op9_shard": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256, true AS in_shard, true AS committed FROM documents",
     "op10_personal_data": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS (
@@ -172,9 +173,9 @@ base AS (
   WHERE kind = 'email' OR (kind = 'ip' AND list_max(list_transform(string_split(v, '.'), lambda x: TRY_CAST(x AS DOUBLE))) <= 255) OR (kind = 'phone' AND length(d) BETWEEN 9 AND 15)
     OR (kind = 'card' AND length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE CAST(d[i] AS INT) * 2 - CASE WHEN CAST(d[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)),
 near AS (
-  SELECT DISTINCT b.doc_id, t.text, lower(b.v) AS entity, unnest(list_distinct(regexp_extract_all(lower(substring(t.text, greatest(b.s - 80, 0) + 1, least(b.s, 80)) || ' ' || substring(t.text, b.e + 1, 80)), '\p{L}+'))) AS term
-  FROM base b JOIN t ON t.doc_id = b.doc_id),
-pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near WHERE length(term) >= 4 GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
+  SELECT doc_id, text, entity, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS term
+  FROM (SELECT DISTINCT b.doc_id, t.text, lower(b.v) AS entity FROM base b JOIN t ON t.doc_id = b.doc_id)),
+pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
 ents AS (SELECT lower(v) AS entity, count(DISTINCT doc_id) AS n_entity FROM base GROUP BY 1),
 terms AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS term FROM t) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
 risky AS (

@@ -2,9 +2,9 @@
 
 Arrivals are appended as small shards, one file for each task that writes. Compaction takes tiers of similarly
 sized shards and merges a tier's run into files of about the target size, without a shuffle. Every change is a
-new manifest: a JSON list of shards, committed atomically under the next version number. Readers see one whole version;
-a writer that loses the race for a number takes the next and starts from what is there. What a job leaves that fails before
-its commit is in no manifest.
+new manifest: a JSON list of shards. It is written whole under a name of its own and then appears under the number after the version
+it was made from, in one step that fails if the number is taken. Readers see one whole version; a writer that loses the race
+starts over from what is there. What a job leaves that fails before its commit is in no manifest.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import uuid
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from meshlark.llm.spread import fresh
 TARGET_BYTES = 128 << 20
 #: A tier holds shards of sizes within this factor; so many make a run.
 TIER_FACTOR, RUN = 4, 2
+#: Bytes of a row group, so that a task that writes a whole target file needs little memory.
+ROW_GROUP = 16 << 20
 
 
 class Shard(NamedTuple):
@@ -42,6 +45,7 @@ class ShardStore:
         self.spark, self.path, self.target = spark, path.rstrip("/"), target
         self._jvm = spark.sparkContext._jvm
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._no_names = spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0)
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -64,34 +68,44 @@ class ShardStore:
         finally:
             stream.close()
 
+    def _publish(self, draft, final) -> bool:
+        """Gives a complete draft its final name; False if that is taken. Any other failure is raised."""
+        try:
+            if self._fs.getScheme() == "file":  # a link is made or not, a rename would overwrite
+                files, paths = self._jvm.java.nio.file.Files, self._jvm.java.nio.file.Paths
+                files.createLink(paths.get(final.toUri().getPath(), self._no_names), paths.get(draft.toUri().getPath(), self._no_names))
+            else:
+                kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+                options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+                options[0] = kinds.NONE
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                context.rename(draft, final, options)
+            return True
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        finally:
+            self._fs.delete(draft, False)
+
     def commit(self, added: list[Shard], removed: list[str] = ()) -> int:
         """Makes a version with these changes to the last one. Raises Conflict if a removed shard is gone already."""
-        while True:
+        while True:  # each round that does not end is another writer's version
             last = self.version()
             now = self.shards(last)
             if missing := set(removed) - {s.file for s in now}:
                 raise Conflict(f"shards that are no longer there: {sorted(missing)[:3]}")
             after = [s for s in now if s.file not in set(removed)] + list(added)
-            number = last + 1
-            while self._fs.exists(self._at(f"_manifests/v{number:08d}.claim")) and not self._fs.exists(self._at(f"_manifests/v{number:08d}.json")):
-                number += 1  # claimed by a writer that died, or is about to commit: then the check below sees it
             draft = self._at(f"_manifests/.{uuid.uuid4().hex}.tmp")
             out = self._fs.create(draft, False)
-            out.write(bytearray(json.dumps({"version": number, "shards": after}).encode()))
+            out.write(bytearray(json.dumps({"version": last + 1, "shards": after}).encode()))
             out.close()
-            try:
-                self._fs.create(self._at(f"_manifests/v{number:08d}.claim"), False).close()
-            except Exception:  # another writer has the number
-                self._fs.delete(draft, False)
-                continue
-            if self.version() != last or not self._fs.rename(draft, self._at(f"_manifests/v{number:08d}.json")):
-                self._fs.delete(draft, False)
-                continue
-            return number
+            if self._publish(draft, self._at(f"_manifests/v{last + 1:08d}.json")):
+                return last + 1
 
     def _written(self, frame: DataFrame) -> list[Shard]:
         folder = f"data/{uuid.uuid4().hex}"
-        frame.write.parquet(f"{self.path}/{folder}")
+        frame.write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{folder}")
         files = {n: size for n, size in self._names(folder) if n.endswith(".parquet")}
         if not files:
             return []
