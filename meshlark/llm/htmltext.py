@@ -37,22 +37,17 @@ _ENDS = {
 }
 _P_ENDERS = BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-#: Words of class, id and role that name what is not the article.
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising|orial)?|banner|sponsor(?:ed|s)?|promo(?:tion|tions)?|cookies?|consent|gdpr|notice|notification|newsletter|subscribe|subscription|signup|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|toolbar|topbar|masthead|header|footer|sidebar|side-bar|aside|rail|widget|related|recommend(?:ed|ations?)?|share|sharing|social|"
-    r"comments?|commentlist|disqus|respond|replies|reply|discussion|pagination|pager|skip|legal|copyright|disclaimer|search|login|contentinfo|complementary|banner)(?:$|[\s_-])",
-    re.I,
-)
+#: Landmark roles of elements that are not the article.
+_ROLES = frozenset("banner complementary contentinfo dialog alertdialog form menu menubar navigation search toolbar".split())
 
 
 class Node:
     """An element. ``parts``: its texts and child elements in order."""
 
-    __slots__ = ("away", "chars", "density", "links", "linked", "named", "parts", "tag", "tags", "total", "up")
+    __slots__ = ("away", "chars", "density", "links", "linked", "parts", "tag", "tags", "total", "up")
 
-    def __init__(self, tag: str, up: Node | None, away: bool, named: bool = False):
-        self.tag, self.up, self.away, self.named = tag, up, away, named
+    def __init__(self, tag: str, up: Node | None, away: bool):
+        self.tag, self.up, self.away = tag, up, away
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.linked = self.links = 0
         self.density = self.total = 0.0
@@ -109,16 +104,14 @@ def parse(page: str) -> Node:
                 if x.tag in ends and x.up is not None:
                     here = x.up
                 x = x.up
-        away, named = tag in AWAY, False
+        away = tag in AWAY
         if not away and m.group(3):
             for a in _ATTRIBUTE.finditer(m.group(3)):
                 name = a.group(1).lower()
                 value = a.group(2) or a.group(3) or a.group(4) or ""
-                if name in ("class", "id", "role") and tag not in ("article", "main", "body") and _BOILER.search(value):
-                    named = True
-                elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                if name == "hidden" or name == "role" and value.strip().lower() in _ROLES or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                     away = True
-        node = Node(tag, here, away, named)
+        node = Node(tag, here, away)
         here.parts.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in RAW and tag not in BLOCK:
             continue
@@ -133,21 +126,6 @@ def parse(page: str) -> Node:
     return root
 
 
-def _sift(root: Node) -> None:
-    """Puts away elements with a boilerplate name, except those that hold most of the page's text outside links."""
-    order, stack, plain = [], [(root, False)], {}
-    while stack:
-        x, link = stack.pop()
-        order.append(x)
-        link = link or x.tag == "a"
-        plain[x] = 0 if link else sum(len(_SPACE.sub("", p)) for p in x.parts if isinstance(p, str))
-        stack += [(p, link) for p in x.parts if isinstance(p, Node) and not p.away]
-    for x in reversed(order):
-        plain[x] += sum(plain[p] for p in x.parts if isinstance(p, Node) and not p.away)
-    for x in order:
-        x.away = x.away or x.named and plain[x] * 2 <= plain[root]
-
-
 def _measure(root: Node) -> list[Node]:
     """Counts characters, tags and those in links from the leaves up; the elements in page order."""
     order, stack = [], [root]
@@ -177,11 +155,13 @@ def _measure(root: Node) -> list[Node]:
 
 
 def blocks(page: str | None) -> list[str]:
-    """The blocks of the main text in page order; white space inside each is one space, none is empty."""
+    """The blocks of the main text in page order; white space inside each is one space, none is empty.
+
+    Of elements whose sums tie, the first on the page is taken. Names of classes and ids decide nothing.
+    """
     if not page:
         return []
     root = parse(page)
-    _sift(root)
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     inner = order[order.index(body) :]
