@@ -25,9 +25,11 @@ from meshlark.llm.spread import fresh, kept
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents of each language that the model is learned from, about (chosen by a hash of the id).
 SAMPLE_DOCS = 3000
-#: Letter runs are read in pieces of this many bytes at most, so that no product underflows.
-RUN = 24
 ROUNDS = 2
+#: Words of more bytes are read one by one, shorter ones with all others of their length.
+LONG = 64
+#: Places between rescalings, so that no product underflows.
+RESCALE = 8
 #: Words whose likelihoods a task remembers.
 REMEMBER = 300_000
 #: Stands before a word's first letter, as the vocabulary's mark of a word's start does.
@@ -58,7 +60,7 @@ def read_pieces(path: str = VOCABULARY) -> Pieces:
     for k in range(model.get_piece_size()):
         if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)):
             piece = model.id_to_piece(k).lower().encode().replace("▁".encode(), bytes([_MARK]))
-            if 0 < len(piece) <= RUN and _MARK not in piece[1:]:
+            if piece and all(tb.LETTER_WORDS[b] for b in piece.removeprefix(bytes([_MARK]))):  # others are in no word
                 found.add(piece)
     hashes = np.unique(np.array([_piece_hash(p) for p in found], np.uint64))
     return Pieces(hashes, max(map(len, found)))
@@ -79,30 +81,104 @@ def _lookup(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, int, np.ndar
     return out
 
 
-def forward(stretches: list[tuple[int, int, np.ndarray]], size: int, probs: np.ndarray) -> np.ndarray:
-    """alpha[place, word, language]: summed probability of all segmentations of the first ``place`` bytes. ``probs`` has a last row of zeros."""
-    n = len(stretches[0][2])
-    alpha = np.zeros((size + 1, n, probs.shape[1]))
-    alpha[0] = 1.0
-    for i, j, piece in stretches:  # by start, so alpha[i] is whole
-        alpha[j] += alpha[i] * probs[piece]
-    return alpha
+class Stretches(NamedTuple):
+    """What ``_lookup`` gives, for one long word: entries by start and end."""
+
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        for k, (i, j) in enumerate(zip(self.start, self.end, strict=True)):
+            yield int(i), int(j), self.piece[k : k + 1]
+
+    def __reversed__(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        for k in range(len(self.start) - 1, -1, -1):
+            yield int(self.start[k]), int(self.end[k]), self.piece[k : k + 1]
+
+
+def _lookup_long(pieces: Pieces, letters: np.ndarray) -> Stretches:
+    """``_lookup`` of one word, for all its places at once."""
+    starts, ends, found = [], [], []
+    h = np.zeros(len(letters), np.uint64)
+    for n in range(1, min(len(letters), pieces.longest) + 1):
+        h = h[: len(letters) - n + 1] * _FACTOR + letters[n - 1 :].astype(np.uint64) + np.uint64(1)
+        at = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
+        hit = np.flatnonzero(pieces.hashes[at] == h)
+        starts.append(hit)
+        ends.append(hit + n)
+        found.append(at[hit])
+    start, end, piece = (np.concatenate(x) for x in (starts, ends, found))
+    order = np.lexsort((end, start))
+    return Stretches(start[order], end[order], piece[order])
+
+
+def forward(stretches, size: int, longest: int, probs_of) -> np.ndarray:
+    """Logs of the summed probability of all segmentations of the first ``place`` bytes: [place, ...]. ``probs_of``: probabilities of an array of pieces.
+
+    ``stretches`` are by start, and single bytes are pieces, so every place is reached. Sums are kept near one: what lies ahead of a place is rescaled together.
+    """
+    out = scale = alpha = None
+    last = -1
+    for i, j, piece in stretches:
+        p = probs_of(piece)
+        if alpha is None:
+            alpha, scale = np.zeros((size + 1, *p.shape)), np.zeros(p.shape)
+            out = np.zeros_like(alpha)
+            alpha[0] = 1.0
+        if i != last:
+            last = i
+            if i % RESCALE == 0:
+                ahead = alpha[i : i + longest]
+                most = ahead.max(axis=0)
+                ahead /= most
+                scale = scale + np.log(most)
+            out[i] = np.log(alpha[i]) + scale
+        alpha[j] += alpha[i] * p
+    out[size] = np.log(alpha[size]) + scale
+    return out
+
+
+def backward(stretches, size: int, longest: int, probs_of) -> np.ndarray:
+    """Logs of the summed probability of all segmentations of the bytes from ``place`` on."""
+    out = scale = beta = None
+    here = size
+    for i, j, piece in reversed(stretches):
+        p = probs_of(piece)
+        if beta is None:
+            beta, scale = np.zeros((size + 1, *p.shape)), np.zeros(p.shape)
+            out = np.zeros_like(beta)
+            beta[size] = 1.0
+        if i != here:
+            if here < size:
+                out[here] = np.log(beta[here]) + scale
+                if here % RESCALE == 0:
+                    ahead = beta[here : here + longest]
+                    most = ahead.max(axis=0)
+                    ahead /= most
+                    scale = scale + np.log(most)
+            here = i
+        beta[i] += beta[j] * p
+    out[here] = np.log(beta[here]) + scale
+    return out
 
 
 def _words_of(chunk: tb.Chunk) -> tuple[tb.Words, np.ndarray, np.ndarray]:
-    """Letter runs cut to RUN bytes, the row of each and its hash."""
+    """Letter runs, the row of each and its hash."""
     found = tb.words(chunk, tb.LETTER_WORDS)
-    size = found.end - found.start
-    if len(size) and size.max() > RUN:
-        many = -(-size // RUN)
-        base = np.repeat(found.start, many)
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start = base + step * RUN
-        end = np.minimum(start + RUN, np.repeat(found.end, many))
-        found = tb.Words(start, end, np.searchsorted(start, chunk.at))
     return found, np.repeat(np.arange(len(chunk.at) - 1), np.diff(found.at)), tb.word_hashes(chunk, found)
 
 
+def _parts(size: int, n: int) -> Iterator[slice]:
+    """Slices of ``n`` words of one size that are handled at once."""
+    step = 1 if size > LONG else max(1, 1_000_000 // (size + 2))
+    return (slice(k, k + step) for k in range(0, n, step))
+
+
+def _stretches(pieces: Pieces, letters: np.ndarray):
+    return _lookup_long(pieces, letters[0]) if letters.shape[1] > LONG + 1 else _lookup(pieces, letters)
+
+
 def _by_length(chunk: tb.Chunk, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices and lower-cased letters, after the mark, of words of each length."""
     low = tb.FOLD[chunk.buf]
@@ -125,9 +201,9 @@ def word_logs(model: Model, chunk: tb.Chunk, start: np.ndarray, end: np.ndarray)
     """Log likelihood of each word in each language."""
     out = np.zeros((len(start), len(model.langs)))
     for which, letters in _by_length(chunk, start, end):
-        for k in range(0, len(which), 20_000):
-            part = slice(k, k + 20_000)
-            out[which[part]] = np.log(forward(_lookup(model.pieces, letters[part]), letters.shape[1], model.probs)[-1])
+        size = letters.shape[1]
+        for part in _parts(size - 1, len(which)):
+            out[which[part]] = forward(_stretches(model.pieces, letters[part]), size, model.pieces.longest, lambda piece: model.probs[piece])[-1]
     return out
 
 
@@ -196,21 +272,17 @@ def _expect(model_of) -> object:
             count, size = part["n"].to_numpy(float), part["word"].str.len().to_numpy()
             for n in np.unique(size):
                 which = np.flatnonzero(size == n)
-                for k in range(0, len(which), 20_000):
-                    rows = which[k : k + 20_000]
+                for at_once in _parts(int(n), len(which)):
+                    rows = which[at_once]
                     letters = np.empty((len(rows), n + 1), np.uint8)
                     letters[:, 0] = _MARK
                     letters[:, 1:] = np.frombuffer(b"".join(part["word"].iloc[rows]), np.uint8).reshape(len(rows), n)
-                    stretches, col = _lookup(model.pieces, letters), column[rows]
-                    alpha = np.zeros((n + 2, len(rows)))
-                    beta = np.zeros((n + 2, len(rows)))
-                    alpha[0], beta[n + 1] = 1.0, 1.0
-                    for i, j, piece in stretches:
-                        alpha[j] += alpha[i] * model.probs[piece, col]
-                    for i, j, piece in reversed(stretches):
-                        beta[i] += beta[j] * model.probs[piece, col]
+                    stretches, col = _stretches(model.pieces, letters), column[rows]
+                    alpha, beta = (f(stretches, int(n) + 1, model.pieces.longest, lambda piece, col=col: model.probs[piece, col]) for f in (forward, backward))
                     for i, j, piece in stretches:
-                        np.add.at(total, (piece, col), alpha[i] * model.probs[piece, col] * beta[j] / alpha[n + 1] * count[rows])
+                        hit = piece >= 0
+                        x, y = piece[hit], col[hit]
+                        np.add.at(total, (x, y), np.exp((alpha[i] + beta[j] - alpha[-1])[hit]) * model.probs[x, y] * count[rows][hit])
         at, col = np.nonzero(total[:-1])
         yield pd.DataFrame({"lang": np.array(model.langs, object)[col], "piece": at, "n": total[at, col]})
 
