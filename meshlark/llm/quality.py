@@ -2,8 +2,7 @@
 
 Two generative models, bags of hashed words and word pairs, are counted: one of all (raw) text,
 one of target text (documents labelled good). A document's log weight is the sum of the log ratios
-of its n-grams, standardised by what target text of its length would have on average, so that long
-and short documents compare. Documents are drawn without replacement by Gumbel top-k on it.
+of its n-grams, that is the log of the ratio of its probabilities. Documents are drawn without replacement by Gumbel top-k on it.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +25,8 @@ from meshlark.llm.spread import fresh, kept
 #: Buckets of words and of pairs of words.
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 18, 1 << 16
 _PARTS = 40
+#: Groups in which counts of map tasks are added up at first.
+_SALTS = 1024
 #: Occurrences that each count is drawn towards its expectation by.
 PRIOR = 2.0
 #: Labelled rows that the target model and the share to draw are fitted on, about (chosen by a hash of the id).
@@ -55,16 +57,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(_PARTS):
         part = slice(k * step, (k + 1) * step)
         if raw[part].any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "raw": pa.array([raw[part].tobytes()], pa.binary()), "target": pa.array([target[part].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "salt": pa.array([TaskContext.get().partitionId() % _SALTS], pa.int32()), "raw": pa.array([raw[part].tobytes()], pa.binary()), "target": pa.array([target[part].tobytes()], pa.binary())})
 
 
 def _add(rows: pd.DataFrame) -> pd.DataFrame:
     total = {c: sum(np.frombuffer(x, np.int64) for x in rows[c]) for c in ("raw", "target")}
-    return pd.DataFrame({"part": rows["part"].iloc[:1], **{c: [v.tobytes()] for c, v in total.items()}})
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "salt": rows["salt"].iloc[:1], **{c: [v.tobytes()] for c, v in total.items()}})
 
 
 class Ratio(NamedTuple):
-    """Counts of each bucket, target words for each raw word, and the mean and variance of the log ratio in target text, by kind.
+    """Counts of each bucket, and target n-grams for each raw one, by kind.
 
     The ratio of a bucket is log((target + PRIOR) / (raw * share + PRIOR)): neutral where little is known. An n-gram's own
     document is left out of both counts, so labelled and other documents compare.
@@ -73,8 +75,6 @@ class Ratio(NamedTuple):
     raw: np.ndarray
     target: np.ndarray
     share: tuple[float, float]
-    mean: tuple[float, float]
-    var: tuple[float, float]
 
     def log(self, bucket: np.ndarray, own_raw, own_target) -> np.ndarray:
         share = np.where(bucket < WORD_BUCKETS, *self.share)
@@ -84,14 +84,7 @@ class Ratio(NamedTuple):
 def ratio_of(raw: np.ndarray, target: np.ndarray) -> Ratio:
     parts = (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, None))
     share = tuple(float(target[p].sum() / max(raw[p].sum(), 1)) for p in parts)
-    one = Ratio(raw, target, share, (0.0, 0.0), (1.0, 1.0))
-    log = one.log(np.arange(len(raw)), 1, 1)
-    mean, var = [], []
-    for p in parts:
-        w = target[p] / max(target[p].sum(), 1)
-        mean.append(float((w * log[p]).sum()))
-        var.append(float((w * log[p] ** 2).sum() - mean[-1] ** 2))
-    return one._replace(mean=tuple(mean), var=tuple(var))
+    return Ratio(raw, target, share)
 
 
 def _weigh(text_at: int, good_at: int, ratio_of_task, name: str) -> object:
@@ -108,12 +101,8 @@ def _weigh(text_at: int, good_at: int, ratio_of_task, name: str) -> object:
                 n = len(chunk.at) - 1
                 once, many = np.unique(row * size + bucket, return_counts=True)
                 row, bucket = once // size, once % size
-                paired = bucket >= WORD_BUCKETS
-                words, pairs = np.bincount(row[~paired], many[~paired], n), np.bincount(row[paired], many[paired], n)
                 log = ratio.log(bucket, many, many * good[chunk.first : chunk.last][row])
-                total = np.bincount(row, log * many, n)
-                z = (total - words * ratio.mean[0] - pairs * ratio.mean[1]) / np.sqrt(words * ratio.var[0] + pairs * ratio.var[1] + 1e-6)
-                out[chunk.first : chunk.last] = np.where(words > 0, z, -np.inf)
+                out[chunk.first : chunk.last] = np.where(np.bincount(row, minlength=n) > 0, np.bincount(row, log * many, n), -np.inf)
             keep = [k for k in range(batch.num_columns) if k != good_at]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.float64(), mask=np.isinf(out))], [*(batch.schema.names[k] for k in keep), name])
 
@@ -126,11 +115,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ``labels``: id and a boolean of each labelled document; an id with labels that differ is not good.
     Raw text is every document; only the labels are sampled, to about ``rows`` of them.
     """
-    sample = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.coalesce(F.col(good), F.lit(False))).alias("__good"))
+    taken, by = (fresh(docs.columns, x) for x in ("is_target", "labelled_id"))
+    sample = labels.groupBy(F.col(doc_id).alias(by)).agg(F.min(F.coalesce(F.col(good), F.lit(False))).alias(taken))
     share = min(1.0, rows / max(1, labels.count()))
-    sample = kept(sample.filter(F.col("__id").isNotNull() & (draw(F.col("__id"), "labelled") < share)))
-    flagged = docs.select(text, doc_id).join(F.broadcast(sample), F.col(doc_id) == F.col("__id"), "left").select(text, "__good")
-    parts = flagged.mapInArrow(_count, "part int, raw binary, target binary").groupBy("part").applyInPandas(_add, "part int, raw binary, target binary").collect()
+    sample = kept(sample.filter(F.col(by).isNotNull() & (draw(F.col(by), "labelled") < share)))
+    flagged = docs.select(text, doc_id).join(F.broadcast(sample), F.col(doc_id) == F.col(by), "left").select(text, taken)
+    kinds = "part int, salt int, raw binary, target binary"
+    parts = flagged.mapInArrow(_count, kinds).groupBy("part", "salt").applyInPandas(_add, kinds).groupBy("part").applyInPandas(_add, kinds).collect()
     raw, target = np.zeros(WORD_BUCKETS + PAIR_BUCKETS, np.int64), np.zeros(WORD_BUCKETS + PAIR_BUCKETS, np.int64)
     step = len(raw) // _PARTS
     for p in parts:
@@ -140,10 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def weigh(docs: DataFrame, ratio: Ratio, sample: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with each row's standardised log weight (null without words), and the column's name."""
+    """``docs`` with each row's log weight (null without words), and the column's name."""
     name = fresh(docs.columns, "log_weight")
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
-    flagged = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id"), "left").select(*docs.columns, "__good")
+    by, taken = sample.columns
+    flagged = docs.join(F.broadcast(sample), F.col(doc_id) == F.col(by), "left").select(*docs.columns, taken)
     out = flagged.mapInArrow(_weigh(docs.columns.index(text), len(docs.columns), lambda: sent.value, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
     return out, name
 
@@ -171,11 +163,11 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return low
 
 
-def select(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", good: str = "good", recall: float = 0.99, sharpness: float = 4.0, seed: str = "quality") -> tuple[DataFrame, dict[str, str]]:
+def select(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", good: str = "good", recall: float = 0.99, seed: str = "quality") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with log_weight (double) and kept (boolean), and these columns' names by role.
 
     k is the number of documents whose weight reaches what ``recall`` of the labelled good ones reach; the k
-    largest of ``sharpness`` * weight + Gumbel noise are kept. The noise is decided by a hash of the id and the text, so
+    largest of log weight + Gumbel noise are kept. The noise is decided by a hash of the id and the text, so
     reruns agree; rows that tie with the k-th are kept. Rows without words (null or empty text) are not kept. Without good labels nothing can be
     told apart and every row with words is kept.
     """
@@ -183,13 +175,13 @@ def select(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weighed, weight = weigh(docs, ratio, sample, doc_id, text)
     name = fresh(weighed.columns, "kept")
     u = draw(F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(text).cast("string")), seed)
-    key = F.col(weight) * sharpness - F.log(-F.log(u + F.lit(2.0**-54)))
-    slim = kept(weighed.select(F.col(doc_id).alias("__id"), F.col(weight).alias("__w"), key.alias("__key")))
-    known = slim.join(F.broadcast(sample.filter("__good").select("__id")), "__id", "left_semi")
-    least = known.agg(F.percentile_approx("__w", F.lit(1 - recall), F.lit(100_000))).first()[0]
+    key = F.col(weight) - F.log(-F.log(u + F.lit(2.0**-54)))
+    slim = kept(weighed.select(F.col(doc_id).alias("id"), F.col(weight).alias("w"), key.alias("key")))
+    known = slim.join(F.broadcast(sample.toDF("id", "target").filter("target").select("id")), "id", "left_semi")
+    least = known.agg(F.percentile_approx("w", F.lit(1 - recall), F.lit(100_000))).first()[0]
     least = float("-inf") if least is None else least
-    k = slim.filter(F.col("__w") >= least).count()
-    bound = kth_largest(slim.filter("__key is not null").select("__key"), "__key", k)
+    k = slim.filter(F.col("w") >= least).count()
+    bound = kth_largest(slim.filter("key is not null").select("key"), "key", k)
     return weighed.withColumn(name, F.coalesce(key >= bound, F.lit(False))), {"log_weight": weight, "kept": name}
 
 
