@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.llm import fuse
-from meshlark.llm.spread import kept, keyed_join, scratch
+from meshlark.llm.spread import BROADCAST_ROWS, Tables, kept, keyed_join, scratch
 
 #: Distinct digests that a bucket holds, about; a bucket is handled in one task.
 BUCKET_KEYS = 200_000
 LEAST_BUCKETS = 48
+#: Bits of the screen of repeated digests.
+SCREEN_BITS = 1 << 26
 
 
 class Snapshot(NamedTuple):
@@ -91,21 +93,38 @@ def merged(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
     return both.unionByName(fresh_rows).unionByName(known.join(names, "sha", "left_anti"))
 
 
-def differing(docs: DataFrame, groups: DataFrame, total: int, doc_id: str, text: str) -> DataFrame:
+def differing(docs: DataFrame, groups: DataFrame, total: int, doc_id: str, text: str, work: Tables) -> DataFrame:
     """Digests of which some row has other bytes than the row that stays: none, unless SHA-256 collides.
 
-    Only rows of groups of two or more are read again, compared with one representative each.
+    A Bloom-like screen, one bit array of the repeated digests broadcast to all tasks, decides which rows' texts move at all;
+    its size follows the number of repeated digests up to SCREEN_BITS, and what it lets through by mistake is only moved in vain.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    repeated = groups.filter("n > 1").select("sha", "keep_id", "n")
+    repeated = work.keep("repeated", groups.filter("n > 1").select("sha", "keep_id", "n"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(whole, 256).alias("sha"), whole.alias("text"))
-    rows = keyed_join(rows, repeated, "sha", "n", total, F.col("doc_id")).filter("n > 1")
+    if repeated.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(repeated), "sha")
+    else:
+        rows = keyed_join(screen(rows, repeated), repeated, "sha", "n", total, F.col("doc_id")).filter("n > 1")
+    # copies of a text are dealt out by salts, each of which gets the text that stays
     salts = F.ceil(F.col("n") / 500).cast("int")
     heads = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"]).select("sha", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("text").alias("head"))
     tails = rows.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("sha", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), "text")
     return tails.join(heads, ["sha", "salt"]).filter(F.col("text") != F.col("head")).select("sha").distinct()
 
 
+def screen(rows: DataFrame, repeated: DataFrame, bits: int = SCREEN_BITS) -> DataFrame:
+    """``rows`` whose digest may be among ``repeated``: the bits that those set are broadcast, ``bits`` / 8 bytes at most."""
+    words = bits // 64
+    place = F.pmod(_key(F.col("sha")), F.lit(bits))
+    set_bits = repeated.groupBy(F.floor(place / 64).cast("bigint").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
+    mine = rows.withColumn("word", F.floor(place / 64).cast("bigint"))
+    if words > BROADCAST_ROWS * 20:
+        raise ValueError("the screen is larger than what may be broadcast")
+    met = mine.join(F.broadcast(set_bits), "word")
+    return met.filter(F.col("bits").bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))) != 0).select(*rows.columns)
+
+
 def exact_groups(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """For each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -124,7 +143,7 @@ def exact_groups(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text
         before = write_snapshot(groups, f"{path}/{k}", total)
         groups = merged(grouped(rows.filter(arrival == k)), before)
     groups = kept(groups)
-    bad = kept(differing(docs, groups, total, doc_id, text))
+    bad = kept(differing(docs, groups, total, doc_id, text, Tables(spark, "exact")))
     if bad.isEmpty():
         table = groups.filter("n > 1").select("sha", "keep_id", "n")
         out = keyed_join(rows, table, "sha", "n", total, F.col("doc_id"))
