@@ -10,21 +10,25 @@ begin before or end after the document, and the words of the rest are compared o
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlark.llm import textbytes as tb
-from meshlark.llm.spread import fresh, kept
+from meshlark.llm.spread import Tables, fresh
 
 SHINGLE = 5
-#: Windows that one broadcast index holds at most (about 200 bytes each); a larger benchmark is handled in blocks.
-BLOCK_WINDOWS = 500_000
+#: Windows that one broadcast index holds at most (about 150 bytes each); a larger benchmark is handled in blocks.
+BLOCK_WINDOWS = 1_000_000
+#: Windows of a piece at most; longer items are cut into pieces that overlap, so that each window is in one of them.
+PIECE_WINDOWS = 20_000
 
 
 class Index(NamedTuple):
@@ -33,47 +37,101 @@ class Index(NamedTuple):
     items: list[str]
     item: np.ndarray  # of each window
     size: np.ndarray  # words of each window
-    text: list[bytes]  # words of each window, lower-cased, joined by spaces
+    start: np.ndarray  # of each window in ``buf``, and its end
+    end: np.ndarray
+    buf: bytes  # words of the items, lower-cased, joined by spaces
     shingle: np.ndarray
     offset: np.ndarray
     window: np.ndarray
 
-    def prefixed(self, counts: dict[int, int]) -> Index:
-        """With the rarest shingle of each window only; ties go to the first."""
-        rare = np.array([counts.get(int(s), 0) for s in self.shingle.view(np.int64)], np.int64)
+    def text(self, window: int) -> bytes:
+        return self.buf[self.start[window] : self.end[window]]
+
+    def prefixed(self, shingle: np.ndarray, count: np.ndarray) -> Index:
+        """With the rarest shingle of each window only, by the counts of those that occur; ties go to the first."""
+        order = np.argsort(shingle)
+        shingle, count = shingle[order], count[order]
+        rare = np.zeros(len(self.shingle), np.int64)
+        if len(shingle):
+            at = np.minimum(np.searchsorted(shingle, self.shingle), len(shingle) - 1)
+            rare = np.where(shingle[at] == self.shingle, count[at], 0)
         by = np.lexsort((self.offset, rare, self.window))
-        first = np.ones(len(by), bool)
-        first[1:] = self.window[by][1:] != self.window[by][:-1]
-        pick = by[first]
+        pick = by[np.append(True, self.window[by][1:] != self.window[by][:-1])[: len(by)]]
         pick = pick[np.argsort(self.shingle[pick], kind="stable")]
         return self._replace(shingle=self.shingle[pick], offset=self.offset[pick], window=self.window[pick])
 
 
 def make_index(items: list[tuple[str, str]], window: int) -> Index:
     """An index of (id, text) items; items without words have no window."""
-    owner, sizes, texts, shingles, offsets, windows = [], [], [], [], [], []
+    buf, base, count = [], 0, 0
+    parts: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in ("item", "size", "start", "end", "offset", "window")}
+    shingles = [np.zeros(0, np.uint64)]
     for k, (_, text) in enumerate(items):
         for chunk in tb.chunks(pa.array([text], pa.string())):
             found = tb.words(chunk, tb.ALNUM_WORDS)
             n = len(found.start)
             if not n:
                 continue
-            size, h = min(window, n), tb.word_hashes(chunk, found)
-            low = tb.FOLD[chunk.buf]
-            spelled = [low[a:b].tobytes() for a, b in zip(found.start, found.end, strict=True)]
+            size = min(window, n)
             step = min(SHINGLE, size)
-            grams = tb.gram_hashes(h, step)
-            for at in range(n - size + 1):
-                w = len(owner)
-                owner.append(k)
-                sizes.append(size)
-                texts.append(b" ".join(spelled[at : at + size]))
-                for o in range(size - step + 1):
-                    shingles.append(grams[at + o])
-                    offsets.append(o)
-                    windows.append(w)
-    by = np.argsort(np.array(shingles, np.uint64), kind="stable")
-    return Index([i for i, _ in items], np.array(owner, np.int64), np.array(sizes, np.int64), texts, np.array(shingles, np.uint64)[by], np.array(offsets, np.int64)[by], np.array(windows, np.int64)[by])
+            grams = tb.gram_hashes(tb.word_hashes(chunk, found), step)
+            low = tb.FOLD[chunk.buf]
+            buf.append(b" ".join(low[a:b].tobytes() for a, b in zip(found.start, found.end, strict=True)))
+            end = np.cumsum(found.end - found.start + 1) - 1 + base
+            start = end - (found.end - found.start)
+            at, inner = np.arange(n - size + 1), np.arange(size - step + 1)
+            for name, x in (("item", np.full(len(at), k)), ("size", np.full(len(at), size)), ("start", start[at]), ("end", end[at + size - 1]), ("offset", np.tile(inner, len(at))), ("window", np.repeat(at + count, len(inner)))):
+                parts[name].append(x)
+            shingles.append(grams[(at[:, None] + inner).ravel()])
+            count += len(at)
+            base += len(buf[-1])
+    shingle = np.concatenate(shingles)
+    by = np.argsort(shingle, kind="stable")
+    whole = {k: np.concatenate(v).astype(np.int64) for k, v in parts.items()}
+    return Index([i for i, _ in items], whole["item"], whole["size"], whole["start"], whole["end"], b"".join(buf), shingle[by], whole["offset"][by], whole["window"][by])
+
+
+def _pieces(window: int) -> object:
+    """(item, piece, text, windows) of batches of (text, id): words joined by spaces, in pieces of PIECE_WINDOWS at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(1).to_pylist(), []
+            for chunk in tb.chunks(batch.column(0)):
+                found = tb.words(chunk, tb.ALNUM_WORDS)
+                for row in range(len(chunk.at) - 1):
+                    a, b = int(found.at[row]), int(found.at[row + 1])
+                    for piece, at in enumerate(range(a, b if b - a < window else b - window + 1, PIECE_WINDOWS)):
+                        to = min(b, at + PIECE_WINDOWS + window - 1)
+                        text = b" ".join(chunk.buf[x:y].tobytes() for x, y in zip(found.start[at:to], found.end[at:to], strict=True)).decode()
+                        out.append({"item": ids[chunk.first + row] or "", "piece": piece, "text": text, "windows": max(1, to - at - window + 1)})
+                        if b - a < window:
+                            break
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("item", pa.string()), ("piece", pa.int64()), ("text", pa.string()), ("windows", pa.int64())]))
+
+    return run
+
+
+def indexes(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> Iterator[Index]:
+    """The benchmark's indexes, one for each block, each built in a task; a block is bounded, and one at a time comes to the driver."""
+    work = Tables(benchmark.sparkSession, "benchmark")
+    pieces = work.keep("pieces", benchmark.select(F.coalesce(item_text, F.lit("")), F.col(item_id).cast("string")).mapInArrow(_pieces(window), "item string, piece bigint, text string, windows bigint"))
+    blocks = -(-(pieces.agg(F.sum("windows")).first()[0] or 1) // BLOCK_WINDOWS)
+    while True:
+        block = F.pmod(F.xxhash64("item", "piece"), F.lit(blocks))
+        most = pieces.groupBy(block.alias("block")).agg(F.sum("windows").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= BLOCK_WINDOWS or most <= PIECE_WINDOWS:
+            break
+        blocks *= 2
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item", "piece"])
+        return pd.DataFrame({"packed": [pickle.dumps(make_index(list(zip(rows["item"], rows["text"], strict=True)), window))]})
+
+    built = work.keep("built", pieces.withColumn("block", block).groupBy("block").applyInPandas(build, "packed binary"))
+    for r in built.toLocalIterator():
+        yield pickle.loads(bytes(r["packed"]))
+    work.drop("pieces", "built")
 
 
 def _hits(chunk: tb.Chunk, index: Index) -> tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,14 +164,15 @@ def _hits(chunk: tb.Chunk, index: Index) -> tuple[tb.Words, np.ndarray, np.ndarr
 def _count_shingles(index_of) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = index_of()
-        total: dict[int, int] = {}
+        once, back = np.unique(index.shingle, return_inverse=True)
+        total = np.zeros(len(once), np.int64)
         for batch in batches:
             for chunk in tb.chunks(batch.column(0)):
                 _, _, place, entry = _hits(chunk, index)
-                once = np.unique(np.stack([place, index.shingle[entry].view(np.int64)]), axis=1)[1] if len(place) else place
-                for s, n in zip(*np.unique(once, return_counts=True), strict=True):
-                    total[int(s)] = total.get(int(s), 0) + int(n)
-        yield pa.RecordBatch.from_pydict({"shingle": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+                if len(place):
+                    total += np.bincount(np.unique(np.stack([place, back[entry]]), axis=1)[1], minlength=len(once))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"shingle": pa.array(once[seen].view(np.int64)), "n": pa.array(total[seen])})
 
     return run
 
@@ -150,7 +209,7 @@ def _find(text_at: int, before_at: int | None, index_of, name: str) -> object:
                 for row, at, w in zip(rows[inside].tolist(), start[inside].tolist(), window[inside].tolist(), strict=True):
                     end = at + int(index.size[w])
                     spelled = b" ".join(tb.FOLD[chunk.buf[found.start[k] : found.end[k]]].tobytes() for k in range(at, end))
-                    if spelled == index.text[w]:
+                    if spelled == index.text(w):
                         base = int(found.at[row])
                         spans.setdefault(row, []).append([at - base, end - base])
                         items.setdefault(row, set()).add(index.items[index.item[w]])
@@ -176,33 +235,27 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """``docs`` with a struct column of what is found in each row (FOUND), and that column's name.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Null texts have no words; items
-    without words are in no document; equal items are found alike. No document row is shuffled: each block of the
-    benchmark (BLOCK_WINDOWS windows) is one pass for counts and one for hits.
+    without words are in no document; equal items are found alike. An item without an id counts as the empty id. No document row is shuffled: each
+    block of the benchmark (BLOCK_WINDOWS windows) is one pass for counts and one for hits.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     name = fresh(docs.columns, "found")
-    rows = docs.select(*docs.columns)
-    blocks, block, size = [], [], 0
-    for i, t in benchmark.select(F.col(item_id).cast("string"), F.coalesce(F.col(item_text), F.lit(""))).toLocalIterator():
-        block.append((i if i is not None else "", t))
-        size += t.count(" ") + 1
-        if size >= BLOCK_WINDOWS:
-            blocks.append(block)
-            block, size = [], 0
-    blocks.append(block)
-    before = None
-    for block in blocks:
-        index = make_index(block, window)
+    work = Tables(spark, "found")
+    rows, before = docs.select(*docs.columns), None
+    none = make_index([], window)
+    for index in indexes(benchmark, item_id, item_text, window):
+        if before is not None:  # more than one block: what was found goes on with the rows
+            rows = work.keep("rows", rows)
         sent = sc.broadcast(index)
-        counts = docs.select(text).mapInArrow(_count_shingles(lambda sent=sent: sent.value), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-        prefixed = sc.broadcast(index.prefixed({s: n for s, n in counts.toLocalIterator()}))
-        fields = [f for f in rows.schema.fields if f.name != before]
-        at = rows.columns.index(text)
-        rows = rows.mapInArrow(_find(at, None if before is None else rows.columns.index(before), lambda sent=prefixed: sent.value, name), T.StructType([*fields, T.StructField(name, FOUND)]))
-        if len(blocks) > 1:
-            rows = kept(rows)
-        before = name
-    return rows, name
+        counts = docs.select(text).mapInArrow(_count_shingles(lambda sent=sent: sent.value), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
+        prefixed = sc.broadcast(index.prefixed(counts["shingle"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64)))
+        rows, before = _with_found(rows, text, before, prefixed, name), name
+    return (rows if before else _with_found(rows, text, None, sc.broadcast(none), name)), name
+
+
+def _with_found(rows: DataFrame, text: str, before: str | None, index, name: str) -> DataFrame:
+    fields = [f for f in rows.schema.fields if f.name != before]
+    return rows.mapInArrow(_find(rows.columns.index(text), None if before is None else rows.columns.index(before), lambda: index.value, name), T.StructType([*fields, T.StructField(name, FOUND)]))
 
 
 def items_digest(items) -> F.Column:

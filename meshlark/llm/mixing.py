@@ -27,15 +27,16 @@ def ranked(sources: DataFrame, source: str) -> DataFrame:
     """
     order = [F.col(source).isNull().asc(), F.col(source).asc()]
     placed = sources.repartitionByRange(8, *order).sortWithinPartitions(*order)
-    placed = kept(placed.select("*", F.monotonically_increasing_id().alias("__m")))
-    part = F.shiftright("__m", 33)
+    at_row = fresh(sources.columns, "at_row")
+    placed = kept(placed.select("*", F.monotonically_increasing_id().alias(at_row)))
+    part = F.shiftright(at_row, 33)
     sizes = dict(placed.groupBy(part.alias("p")).count().collect())
     before, at = [F.lit(-1), F.lit(0)], 0
     for p in sorted(sizes):
         before += [F.lit(p).cast("bigint"), F.lit(at).cast("bigint")]
         at += sizes[p]
     before[0], before[1] = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
-    return placed.withColumn("rank", F.create_map(*before)[part] + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
+    return placed.withColumn("rank", F.create_map(*before)[part] + F.col(at_row).bitwiseAND(F.lit((1 << 33) - 1))).drop(at_row)
 
 
 def targets(sizes: DataFrame, source: str = "source", size: str = "source_size", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -47,17 +48,18 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "source_size",
     """
     table = ranked(sizes, source)
     table = table.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
-    table = kept(table.withColumn("__cap", F.col(size) * F.lit(cap)))
+    most = fresh(table.columns, "most")
+    table = kept(table.withColumn(most, F.col(size) * F.lit(cap)))
     total = (table.agg(F.sum(size)).first()[0] or 0) * share
     level, full = 0.0, -1
     while True:
-        above = F.lit(False) if full < 0 else F.col("weight") * F.lit(level) > F.col("__cap")
-        n, capped, open_weight = table.agg(F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("__cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0))).first()
+        above = F.lit(False) if full < 0 else F.col("weight") * F.lit(level) > F.col(most)
+        n, capped, open_weight = table.agg(F.count_if(above), F.coalesce(F.sum(F.when(above, F.col(most))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0))).first()
         if n == full or not open_weight:
             level = level if open_weight else float("inf")
             break
         full, level = n, (total - capped) / open_weight
-    return table.withColumn("target", F.when(F.col("weight") * F.lit(level) > F.col("__cap"), F.col("__cap")).otherwise(F.col("weight") * F.lit(level))).drop("__cap", "rank")
+    return table.withColumn("target", F.when(F.col("weight") * F.lit(level) > F.col(most), F.col(most)).otherwise(F.col("weight") * F.lit(level))).drop(most, "rank")
 
 
 def draw(doc_id: Column, seed: str) -> Column:
@@ -76,24 +78,26 @@ def rate_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = {r: fresh(docs.columns, f"mix_{r}") for r in ("size", "source_size", "target", "copies")}
     sized = docs.withColumn(names["size"], word_count(F.col(text)))
     sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum(names["size"]).alias("source_size"))
-    table = targets(sizes, weights=weights, share=share, cap=cap).select(F.col("source").alias("__src"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
+    own = fresh([*docs.columns, *names.values()], "mix_source")
+    table = targets(sizes, weights=weights, share=share, cap=cap).select(F.col("source").alias(own), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
     if table.count() <= BROADCAST_ROWS:
-        met = sized.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("__src")), "left")
+        met = sized.join(F.broadcast(table), F.col(source).eqNullSafe(F.col(own)), "left")
     else:  # sources without bound: salted, since one may hold a third of all rows
-        salts = 64
-        sized = sized.withColumn("__salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)))
-        met = _salted(sized, table, source, salts)
+        met = _salted(sized, table, source, own, doc_id)
     rate = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(F.col(doc_id), seed) < rate - F.floor(rate), 1).otherwise(0)
     return met.withColumn(names["copies"], copies.cast("bigint")).select(*docs.columns, *names.values()), names
 
 
-def _salted(sized: DataFrame, table: DataFrame, source: str, salts: int) -> DataFrame:
-    wide = table.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return sized.join(wide, F.col(source).eqNullSafe(F.col("__src")) & (F.col("__salt") == F.col("__salt2")), "left")
+def _salted(sized: DataFrame, table: DataFrame, source: str, own: str, doc_id: str, salts: int = 64) -> DataFrame:
+    of_row, of_key = (fresh([*sized.columns, *table.columns], x) for x in ("salt_of_row", "salt_of_key"))
+    sized = sized.withColumn(of_row, F.pmod(F.xxhash64(doc_id), F.lit(salts)))
+    wide = table.withColumn(of_key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return sized.join(wide, F.col(source).eqNullSafe(F.col(own)) & (F.col(of_row) == F.col(of_key)), "left")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``rate_documents`` says, with the columns of ``docs``."""
     rated, names = rate_documents(docs, **options)
-    return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col(names["copies"]).cast("int")))).select(*docs.columns)
+    copy = fresh(rated.columns, "copy")
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(names["copies"]).cast("int")))).select(*docs.columns)
