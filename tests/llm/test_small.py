@@ -426,7 +426,7 @@ def test_probabilities_sum_to_one():
     base = {"bucket": 0, "n_words": 30, "n_pairs": len(word), "n_names": 8, "words": words.tobytes(), "names": names.tobytes(), "per_word": hpylm._small(np.bincount(word, minlength=30)), "contexts": hpylm._places(context, 8), "counts": hpylm._small(counts[word, context]), "customers": hpylm._small(counts.sum(axis=0)), "known": hpylm._small(counts.sum(axis=1))}
     totals, seen = hpylm.Totals(0, 0, int((counts.sum(axis=1) > 0).sum()), 0.6, 1.0, 0.8, 1.0), {}
     for k in range(3):
-        state = base | {c: seen[f"{c}_0"] for c in ("tables", "root_customers", "root_tables") if seen}
+        state = base | {c: seen[f"{c}_0"] for c in ("n_tables", "tables", "root_customers", "root_tables") if seen}
         new = next(iter(hpylm._sweep(totals, k, int(counts.sum()), 0.3)(iter([lm_frame(**state)]))))
         of_word = hpylm._large(new["of_word"][0], 30)
         root = hpylm._seat_root(totals, k)(of_word, 0)
@@ -526,7 +526,7 @@ def test_scores_against_a_plain_sampler(spark):
     pairs = collections.Counter(x for t in train for x in zip(["<s>", *t], [*t, "</s>"], strict=True))
     discount = hpylm._discount(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
     for k, want in enumerate(plain_model(train, tests, discount)):
-        assert got[1000 + k] == pytest.approx(want, abs=0.06 * (len(tests[k]) + 1))
+        assert got[1000 + k] == pytest.approx(want, abs=0.12 * (len(tests[k]) + 1))  # the noise of five samples
 
 
 def test_contexts_are_not_mixed(spark):
@@ -563,14 +563,14 @@ def test_restaurants_are_normalised():
 def test_sweeps_seat_every_customer():
     """Tables of dishes of thousands of customers against the exact distribution, and of small ones against single moves."""
     rng = np.random.default_rng(3)
-    for c, d, w in ((3000, 0.6, 2.5), (3000, 0.8, 40.0), (5, 0.3, 0.7)):
+    for c, d, w, g in ((3000, 0.6, 2.5, 0), (3000, 0.8, 40.0, 0), (5, 0.3, 0.7, 0), (3000, 0.6, 2.5, 0.3), (40, 0.5, 0.2, 0.45)):
         t = np.arange(min(c, 400) + 1)
         p = np.zeros(len(t), np.longdouble)  # w ** t S(c, t), scaled, by the recurrence
         p[1] = 1
         for j in range(1, c):
-            p = p * np.maximum(j - d * t, 0) + w * np.append(0, p[:-1])
+            p = p * np.maximum(j - d * t, 0) + np.append(0, (w + g * t[:-1]) * p[:-1])
             p /= p.sum()
-        got = np.bincount(hpylm.draw_tables(np.full(20_000, c), d, np.full(20_000, w), rng), minlength=len(t)) / 20_000
+        got = np.bincount(hpylm.draw_tables(np.full(20_000, c), d, np.full(20_000, w), rng, g), minlength=len(t)) / 20_000
         assert len(got) == len(t) and (got * t).sum() == pytest.approx((p * t).sum(), rel=0.01) and np.abs(np.cumsum(got) - np.cumsum(p)).max() < 0.02
     assert (hpylm.draw_tables(np.full(20_000, 2), 0.4, np.full(20_000, 0.3), rng) == 2).mean() == pytest.approx(0.3 / (0.3 + 1 - 0.4), abs=0.02)
     mixed = np.array([0, 1, 2, 700, 2, 65_000])
