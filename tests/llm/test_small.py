@@ -763,7 +763,7 @@ def test_pii_against_the_plain_patterns(spark):
 
 def test_pii_terms(spark, empty):
     rows = [(k, f"please write to Zebulon Quartz at zq@corp.example.com about item {k} soon") for k in range(5)] + [(100 + k, f"please write about item {k} soon " + "word " * k) for k in range(80)]
-    out, n = pii.find(spark.createDataFrame(rows, "doc_id int, text string"))
+    out, n = pii.find(spark.createDataFrame(rows, "doc_id int, text string"), letters=4)
     r = out.filter("doc_id = 1").first()
     assert [s["kind"] for s in r[n["spans"]]] == ["term", "term", "email"] and r[n["clean"]] == "please write to   at [email] about item 1 soon"
     assert out.filter(f"doc_id >= 100 AND size({n['spans']}) > 0").count() == 0
