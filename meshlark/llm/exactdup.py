@@ -96,8 +96,8 @@ def merged(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
 def differing(docs: DataFrame, groups: DataFrame, total: int, doc_id: str, text: str, work: Tables) -> DataFrame:
     """Digests of which some row has other bytes than the row that stays: none, unless SHA-256 collides.
 
-    A Bloom-like screen, one bit array of the repeated digests broadcast to all tasks, decides which rows' texts move at all;
-    its size follows the number of repeated digests up to SCREEN_BITS, and what it lets through by mistake is only moved in vain.
+    Only rows of repeated digests are moved with their texts: those digests are broadcast if they are few, after they were counted;
+    otherwise a screen of a fixed number of bits decides which rows meet them in a shuffle, and lets some others through in vain.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     repeated = work.keep("repeated", groups.filter("n > 1").select("sha", "keep_id", "n"))
@@ -114,15 +114,13 @@ def differing(docs: DataFrame, groups: DataFrame, total: int, doc_id: str, text:
 
 
 def screen(rows: DataFrame, repeated: DataFrame, bits: int = SCREEN_BITS) -> DataFrame:
-    """``rows`` whose digest may be among ``repeated``: the bits that those set are broadcast, ``bits`` / 8 bytes at most."""
-    words = bits // 64
+    """``rows`` whose digest may be among ``repeated``: the words of the bits that those set are broadcast, ``bits`` / 64 rows at most."""
     place = F.pmod(_key(F.col("sha")), F.lit(bits))
-    set_bits = repeated.groupBy(F.floor(place / 64).cast("bigint").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    set_bits = repeated.groupBy(F.floor(place / 64).cast("bigint").alias("word")).agg(F.bit_or(bit).alias("bits"))
     mine = rows.withColumn("word", F.floor(place / 64).cast("bigint"))
-    if words > BROADCAST_ROWS * 20:
-        raise ValueError("the screen is larger than what may be broadcast")
     met = mine.join(F.broadcast(set_bits), "word")
-    return met.filter(F.col("bits").bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))) != 0).select(*rows.columns)
+    return met.filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
 def exact_groups(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -656,6 +656,15 @@ def test_texts_that_share_a_digest_are_told_apart(docs, monkeypatch):
     assert rows[1] == (2, 2) and rows[3] == (3, 1) and rows[4] == (5, 2) and rows[7] == (7, 1)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_the_screen_lets_all_repeated_digests_through(spark, bits):
+    rows = exactdup.digest_rows(spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 350).cast("string")).alias("text")))
+    repeated = exactdup.grouped(rows).filter("n > 1")
+    through = exactdup.screen(rows, repeated, bits)
+    assert through.columns == rows.columns and through.join(repeated, "sha", "left_semi").count() == 100
+    assert through.count() == (100 if bits > 64 else through.count()) and through.count() <= 400
+
+
 # shards
 
 
